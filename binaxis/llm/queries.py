@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .mixing import mix_report
 from .packing import pack
+from .simhash import near_groups
 from .token_store import read_all, write_store
 
 
@@ -18,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -27,10 +33,16 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_all(write_store(docs), docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_mixing": op3_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_token_store": op8_token_store,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL = {
