@@ -10,6 +10,7 @@ from .mixing import mix_report
 from .packing import pack
 from .simhash import near_groups
 from .substring_dedup import drop_repeated_words
+from .suffix_dedup import drop_repeated_bytes
 from .token_store import read_all, write_store
 
 
@@ -38,6 +39,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_all(write_store(docs), docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_token_store": op8_token_store,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
 
