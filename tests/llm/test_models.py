@@ -31,11 +31,12 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def test_languages(spark, langs):
     rows = sentences(1, 200, langs) + [(900, None, "en", "a", 0), (901, "12 !? 3", "en", "a", 0), (902, "", None, None, None), (903, "the and of that", None, "a", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    model = langid.train(docs, F.col("doc_id") % 2 == 0, most=50)
+    model = langid.train(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, most=50)
     got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got.values())
     assert {got[d]["lang_pred"] for d in (900, 901, 902)} == {"und"}
-    held_out = [r for r in rows if r[0] % 2 and r[0] < 900]
+    learned = {r["doc_id"] for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).collect()}
+    held_out = [r for r in rows if r[0] not in learned and r[0] < 900]
     assert sum(got[r[0]]["lang_pred"] == r[2] for r in held_out) >= 0.97 * len(held_out)
 
 
