@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import documents
-from .tokens import chunks, encoder, tokenizer_path
+from .tokens import cuts, encoder, tokenizer_path
 
 #: Context sizes, longest first. All are powers of two.
 TIERS = (4096, 2048, 1024, 512)
@@ -133,9 +133,9 @@ def _pack(path: str, tiers, waiting_ids: int, step_ids: int):
 
         ready: list[tuple[int, list]] = []
         for batch in batches:
-            for doc_ids, texts in chunks(batch):
-                for doc_id, raw in zip(doc_ids, encode.encode(texts)):
-                    ids = np.frombuffer(raw, encode.dtype)
+            for lo, hi in cuts(batch.column(1), 2 << 20):
+                flat, ends = encode.encode(batch.column(1).slice(lo, hi - lo))
+                for doc_id, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), np.split(flat, ends[:-1])):
                     held[dealt] = [doc_id, ids, len(ids)]
                     ready += packer.add(dealt, len(ids))
                     dealt += 1

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, fresh_path, local_fs
-from .tokens import chunks, encoder, tokenizer_path
+from .tokens import cuts, encoder, tokenizer_path
 
 MAGIC, INDEX_MAGIC = b"TOKSHRD1", b"TOKINDX1"
 TRAILER = "<QQQ8s"
@@ -186,9 +186,12 @@ def _encode(path: str, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, edges = encoder(path), np.array(bounds, np.int64)
         for batch in batches:
-            for keys, texts in chunks(batch):
-                at = np.array(keys, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.searchsorted(edges, at, "right").astype(np.int32)), pa.array(encode.encode(texts), pa.binary())], ["key", "shard", "ids"])
+            for lo, hi in cuts(batch.column(1), 2 << 20):
+                at = batch.column(0).slice(lo, hi - lo).to_numpy()
+                flat, ends = encode.encode(batch.column(1).slice(lo, hi - lo))
+                places = np.append(0, ends * flat.itemsize).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.searchsorted(edges, at, "right").astype(np.int32)), ids], ["key", "shard", "ids"])
 
     return run
 

@@ -12,11 +12,15 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Ends each document.
 END_ID = 2
-#: Remembered pieces per worker, and the longest piece remembered.
+#: Remembered pieces per worker (as many older ones besides), and the longest piece remembered.
 KEEP_PIECES, KEEP_CHARS = 250_000, 64
+#: Marks that may follow a word.
+MARKS = ".,;:!?|*%&$#)"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,8 +42,10 @@ class Encoder:
         #: A special token that can stand between pieces: found literally, eats no neighbours.
         self.mark = next((s for s in special if s.startswith("<|") and s.count("<") == 1), None)
         self.mark_id = special.get(self.mark)
-        self.end = np.array([END_ID], self.dtype).tobytes()
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        probe = self._ids(["Éa9.,", "éa9", ".,", "ÉA9"])
+        self.plain = probe[0] == probe[1] + probe[2] and probe[1] == probe[3]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,21 +66,76 @@ class Encoder:
                 at = e + 1
         return [out[p] for p in pieces]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Bytes of each text's ids with the end id; a null text counts as empty."""
-        split = [t.replace("\n", " ").split(" ") if t else () for t in texts]
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not remembered; what is short enough is remembered from now on.
+
+        A Latin-1 word is encoded in lower case and apart from marks after it, where the tokenizer folds case and
+        parts marks from words: such a word is normalised already, its lower case is its own, and no
+        token holds both a letter or digit and a mark other than the apostrophe.
+        """
+        young, old, plain = self.known, self.older, self.plain
+        out: dict[str, bytes] = {}
+        todo, unknown = [], {}
+        for p in pieces:
+            if (ids := old.get(p)) is not None:
+                young[p] = ids
+                continue
+            if len(p) > KEEP_CHARS:
+                out[p] = b""
+                continue
+            word = p.rstrip(MARKS)
+            if plain and word and word[-1].isalnum() and max(word) < "\u0100" and "<" not in p:
+                marks, word = p[len(word) :], word.lower()
+            else:
+                word, marks = p, ""
+            for x in (word, marks) if marks else (word,):
+                if x not in young and x not in unknown:
+                    if (ids := old.get(x)) is not None:
+                        young[x] = ids
+                    else:
+                        unknown[x] = None
+            todo.append((p, word, marks))
+        if unknown:
+            unknown = list(unknown)
+            young.update(zip(unknown, self._pieces(unknown)))
+        for p, word, marks in todo:
+            young[p] = young[word] + young[marks] if marks else young[word]
+        if out:
+            out = dict(zip(out, self._pieces(list(out))))
+        return out
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
         known = self.known
-        missing = list({p for pieces in split for p in pieces if p not in known})
-        if len(known) + len(missing) > KEEP_PIECES:
-            known = self.known = {"": b""}
-            missing = list({p for pieces in split for p in pieces if p not in known})
-        found = dict(zip(missing, self._pieces(missing))) if missing else {}
-        for p, ids in found.items():
-            if len(p) <= KEEP_CHARS:
-                known[p] = ids
-        if len(found) and any(len(p) > KEEP_CHARS for p in found):
-            return [b"".join([known[p] if p in known else found[p] for p in pieces]) + self.end for pieces in split]
-        return [b"".join(map(known.__getitem__, pieces)) + self.end for pieces in split]
+        out = list(map(known.get, pieces))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if missing:
+            long = self._learn([pieces[i] for i in missing])
+            for i in missing:
+                p = pieces[i]
+                out[i] = known[p] if p in known else long[p]
+        if len(known) > KEEP_PIECES:  # what is still used comes back from the older half
+            self.known, self.older = {"": b""}, known
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, end of each text's ids), each text with the end id; null counts as empty.
+
+        Pieces are told apart and numbered by Arrow, so that Python sees each different piece of a chunk once.
+        """
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        numbered = lists.flatten().dictionary_encode()
+        codes = numbered.indices.to_numpy()
+        ids = self._look_up(numbered.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        starts = (np.cumsum(lengths) - lengths)[codes]
+        lengths = lengths[codes]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+        pieces = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
+        past = np.where(pieces > 0, ends[np.maximum(pieces, 1) - 1], 0) if len(ends) else np.zeros(len(texts), np.int64)
+        return np.insert(out, past, END_ID), past + np.arange(1, len(texts) + 1)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -87,12 +148,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def chunks(batch, chars: int = 1 << 20, rows: int = 64):
-    """(doc ids, texts) of an Arrow batch in small lists, so that memory follows texts, not batches."""
-    ids, texts = batch.column(0), batch.column(1)
+def cuts(texts, chars: int = 1 << 20, rows: int = 1024):
+    """(first, past) of small stretches of a string column, so that memory follows texts, not batches."""
     lo, size = 0, 0
-    for i in range(batch.num_rows):
-        size += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-        if size >= chars or i + 1 - lo >= rows or i + 1 == batch.num_rows:
-            yield ids.slice(lo, i + 1 - lo).to_pylist(), texts.slice(lo, i + 1 - lo).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= chars or i + 1 - lo >= rows or i + 1 == len(sizes):
+            yield lo, i + 1
             lo, size = i + 1, 0
+
+
+def chunks(batch, chars: int = 1 << 20, rows: int = 64):
+    """(doc ids, texts) of an Arrow batch in small lists."""
+    for lo, hi in cuts(batch.column(1), chars, rows):
+        yield batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
