@@ -30,11 +30,11 @@ def contrast(c: DataFrame, domains: DataFrame, sampled: int = 10) -> DataFrame:
     for side in ("start", "end"):
         d = d.withColumn(f"_{side}", F.least(F.floor(F.col(side) / F.col("resolution")), F.col("n") - 1))
     d = d.filter("_end > _start").withColumn("len", F.col("_end") - F.col("_start")).withColumn("sampled", F.row_number().over(Window.partitionBy(*key).orderBy(F.md5(F.col("start").cast("string")), "start")) <= sampled)
-    d = d.select(*key, F.col("_start").alias("dom"), "len", "sampled", F.explode(F.sequence(F.col("_start"), F.col("_end") - 1)).alias("bin"))
+    each = d.select(*key, F.col("_start").alias("dom"), F.col("_end").alias("past"), "len", "sampled").persist()
+    d = each.select(*key, "dom", F.explode(F.sequence(F.col("dom"), F.col("past") - 1)).alias("bin"))
     di = d.select(*key, F.col("bin").alias("i"), F.col("dom").alias("a"))
     dj = d.select(*key, F.col("bin").alias("j"), F.col("dom").alias("b"))
-    blocks = c.join(di, [*KEY, "i"]).join(dj, [*key, "j"]).groupBy(*key, "a", "b").agg(F.sum(F.when((F.col("a") == F.col("b")) & (F.col("i") < F.col("j")), 2 * F.col("v")).otherwise(F.col("v"))).alias("s"))
-    each = d.select(*key, "dom", "len", "sampled").distinct()
+    blocks = c.join(di, [*KEY, "i"]).join(dj, [*key, "j"]).groupBy(*key, "a", "b").agg(F.sum(F.when((F.col("a") == F.col("b")) & (F.col("i") < F.col("j")), 2 * F.col("v")).otherwise(F.col("v"))).alias("s")).persist()
     inner = each.join(blocks.filter("a = b").select(*key, F.col("a").alias("dom"), "s"), [*key, "dom"], "left").groupBy(*key).agg(F.avg(F.coalesce("s", F.lit(0.0)) / (F.col("len") * F.col("len"))).alias("inside"))
     both = blocks.filter("a <> b").unionByName(blocks.filter("a <> b").select(*key, F.col("b").alias("a"), F.col("a").alias("b"), "s"))
     left = each.filter("sampled").select(*key, F.col("dom").alias("a"), F.col("len").alias("len_a"))
@@ -48,7 +48,7 @@ def contrast(c: DataFrame, domains: DataFrame, sampled: int = 10) -> DataFrame:
 def block_contrast_domains(c: DataFrame, windows: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
     """For each chromosome the domains of the window with the best contrast; the first of equals."""
     tried = F.explode(F.array(*map(F.lit, windows))).alias("w")
-    each = S.domains_between(score_minima(c, windows), S.n_bins(c).select("*", tried), "n - 1", keys=[*KEY, "w"])
+    each = S.domains_between(score_minima(c, windows), S.n_bins(c).select("*", tried), "n - 1", keys=[*KEY, "w"]).persist()  # read by several branches below
     place = F.array_position(F.array(*map(F.lit, windows)), F.col("w"))
     best = Window.partitionBy(*KEY).orderBy(F.desc("ratio"), "place")
     chosen = contrast(c, each).withColumn("place", place).withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*KEY, "w")

@@ -37,7 +37,7 @@ def qualities(sums: np.ndarray, gamma: float, least_windows: int) -> np.ndarray:
 def best_set(q: np.ndarray) -> list[tuple[int, int]]:
     """The windows (first, last bin) of the best set. ``inside[l]`` ends in a window at bin l, ``whole[l]`` covers bins 1 .. l.
 
-    After a window comes another or a gap, and a gap follows a window: whole[l] = max(inside[l], max of inside before).
+    After a window comes another, or a gap of two bins or more: whole[l] = max(inside[l], max of inside up to l - 2).
     """
     n = q.shape[1] - 1
     whole, inside = np.zeros(n + 1), np.zeros(n + 1)
@@ -65,7 +65,7 @@ def best_set(q: np.ndarray) -> list[tuple[int, int]]:
 
 
 def best_sets(q: np.ndarray, k: int) -> list[tuple[float, list[tuple[int, int]]]]:
-    """The ``k`` best different sets (score, windows), best first."""
+    """The ``k`` best different sets (score, windows) under the same rules, best first."""
     n = q.shape[1] - 1
     inside: list[list] = [[(0.0, ())], []]  # (score, windows from the last back, as nested pairs)
     whole: list[list] = [[(0.0, ())], [(0.0, ())]]
@@ -74,7 +74,7 @@ def best_sets(q: np.ndarray, k: int) -> list[tuple[float, list[tuple[int, int]]]
         own = q[d, l - d]
         ways = [(s + own[x], ((l - d[x], l - 1), w)) for x in np.flatnonzero(own > -np.inf).tolist() for s, w in whole[l - d[x]]]
         inside.append(heapq.nlargest(k, ways, key=lambda w: w[0]))
-        before = [w for m in range(1, l) for w in inside[m]]  # a gap after a window, or no window at all
+        before = [w for m in range(1, l - 1) for w in inside[m]]  # a gap after a window, or no window at all
         whole.append(heapq.nlargest(k, [*inside[l], *before, (0.0, ())], key=lambda w: w[0]))
     out = []
     for score, w in whole[n]:

@@ -38,7 +38,7 @@ def write_triples(contacts: DataFrame, path: str) -> None:
 
 def read_dense(spark: SparkSession, path: str, chrom: str, resolution: int) -> DataFrame:
     """A (gzipped) matrix, one tab-separated row a line; keeps positive cells of the upper triangle, checks the shape."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("r", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("r", "line"))
     rows = lines.select("r", F.split(F.trim("line"), r"\s+").alias("cells"))
     shape = rows.agg(F.count(F.lit(1)), F.min(F.size("cells")), F.max(F.size("cells"))).first()
     if not shape[0] == shape[1] == shape[2]:
