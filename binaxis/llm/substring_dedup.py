@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import cut, documents, n_tasks
 from .winnow import GATHERED, Rolling, blocks_of, find_runs, identified, maybe_repeated, merged, mix, repeated_anchors, spans_of, with_spans

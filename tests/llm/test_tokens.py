@@ -85,14 +85,14 @@ def test_packing(docs, ids, waiting):
 
 def test_packing_odd_rows(odd, nothing):
     pieces = packing.pack(odd).collect()
-    assert sum(p["length"] for p in pieces if p["start"] == 0 or True) == sum({(p["doc_id"], p["doc_tokens"]): p["doc_tokens"] for p in pieces}[k] * c for k, c in {(None, pieces_of(pieces, None)): 1, (5, pieces_of(pieces, 5)): 3, (6, pieces_of(pieces, 6)): 1}.items())
+    placed, tokens_of = defaultdict(int), {}
+    for p in pieces:
+        placed[p["doc_id"]] += p["length"]
+        tokens_of[p["doc_id"]] = p["doc_tokens"]
+    assert placed == {d: tokens_of[d] * rows for d, rows in ((None, 1), (5, 3), (6, 1))}
     assert packing.pack(nothing).count() == 0
 
 
-def pieces_of(pieces, doc):
-    return next(p["doc_tokens"] for p in pieces if p["doc_id"] == doc)
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 10_000), max_size=60))
 def test_packer_places_all_ids_in_full_windows(sizes):
