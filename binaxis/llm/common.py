@@ -70,3 +70,18 @@ def n_words(text: Column) -> Column:
 def n_tasks(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for so many rows: grows with the input, at least the session's parallelism."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_task))
+
+
+#: A group is hot if it holds more than this share of all rows; so there are fewer hot groups than this number.
+HOT_SHARE = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group in ``groups``, no group in one task.
+
+    ``groups`` has one row a key, with the number of its rows in ``size``; ``total`` is the number of all rows. Hot
+    groups, fewer than HOT_SHARE whatever the input, travel to the rows; only rows of the others shuffle.
+    """
+    is_hot = F.col(size) * HOT_SHARE > total
+    hot, cold = F.broadcast(groups.filter(is_hot)), groups.filter(~is_hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, documents
+from .common import SPACE_CLASS, cut, documents, join_groups
 
 #: Bits of the filter per row, and the bounds of its size (16 MB at most, whatever the input).
 BITS_PER_ROW, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
@@ -51,7 +51,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Texts are equal when their white space runs, each made one space, leave the same text; its
     SHA-256 stands for it. First pass: a Bloom filter of the slots that at least two rows hit.
     Second pass: only rows whose slots are all in it shuffle to be grouped; the rest pass straight
-    through as groups of one. A larger input than the filter is made for lets more rows shuffle and
+    through as groups of one. A group of any size is counted by partial sums, and its rows learn of it without
+    meeting in one task. A larger input than the filter is made for lets more rows shuffle and
     changes no result.
 
     A null text counts as empty. Rows that repeat one doc_id and text each count in group_size;
@@ -65,8 +66,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     digest = F.lower(F.hex("digest")).alias("text_sha256")
     alone = flagged.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
     together = flagged.filter("maybe").select("doc_id", "digest")
-    groups = together.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    found = together.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), digest)
+    groups = cut(together.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
+    found = join_groups(together, groups, "digest", "group_size", rows).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), digest)
     return alone.unionByName(found)
 
 
