@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, n_tasks
+from .common import cut, documents, join_groups, n_tasks
 from .components import components
 from .tokens import chunks
 
@@ -216,12 +216,12 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, budget: int = BUDGET) -> Data
     An empty table gives no rows.
     """
     marked = cut(fingerprints(docs, k), "prints")
-    nodes = marked.groupBy("print").agg(F.min("doc_id").alias("least"))
+    nodes = marked.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     links = print_links(nodes.select("print"), budget)
-    roots = components(links).join(nodes.withColumnRenamed("print", "u"), "u")
+    roots = components(links).join(nodes.select(F.col("print").alias("u"), "least"), "u")
     named = cut(roots.groupBy("root").agg(F.min("least").alias("linked_id")).join(roots.select("u", "root"), "root").select(F.col("u").alias("print"), "linked_id"), "near-roots")
-    alone = nodes.join(named, "print", "left").select("print", F.when(F.col("linked_id").isNull(), F.col("least")).otherwise(F.col("linked_id")).alias("component_id"))
-    return marked.join(alone, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    found = nodes.join(named, "print", "left").select("print", "n", F.when(F.col("linked_id").isNull(), F.col("least")).otherwise(F.col("linked_id")).alias("component_id"))
+    return join_groups(marked, cut(found, "print-groups"), "print", "n", marked.count()).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, k: int = SHINGLE, budget: int = BUDGET) -> DataFrame:

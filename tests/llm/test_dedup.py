@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from binaxis.llm import exact_dedup, simhash, substring_dedup, suffix_dedup, winnow
+from binaxis.llm import common, exact_dedup, simhash, substring_dedup, suffix_dedup, winnow
 from binaxis.llm.components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -192,3 +192,11 @@ def test_components(spark):
                 root[a] = root[b] = min(root[a], root[b])
     got = {r["u"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: r for x, r in root.items() if x != 300}
+
+
+@pytest.mark.parametrize("share", [1, 3, 1 << 20])
+def test_hot_groups_change_nothing(docs, share, monkeypatch):
+    """No group hot, some, or all."""
+    wanted = [sorted(map(tuple, f(docs).collect())) for f in (exact_dedup.exact_groups, simhash.near_groups)]
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    assert [sorted(map(tuple, f(docs).collect())) for f in (exact_dedup.exact_groups, simhash.near_groups)] == wanted
