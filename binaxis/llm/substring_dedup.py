@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import cut, documents, n_tasks
-from .winnow import GATHERED, Rolling, blocks_of, find_runs, identified, maybe_repeated, merged, mix, repeated_anchors, spans_of, with_spans
+from .winnow import CUT_RUNS, GATHERED, Rolling, blocks_of, find_runs, identified, in_filter, merged, mix, repeated_anchors, spans_of, with_spans
 
 #: Words of the shortest repeat, and of a seed.
 SPAN, SEED_WORDS = 20, 6
+#: Places of an anchor beyond which its windows travel one by one.
+HOT_PLACES = 1 << 16
 
 RUNS = "route long, anchor long, id long, key long, first long, windows binary, past long"
 COVERED = "id long, key long, first long, past long"
@@ -76,11 +78,40 @@ def _earliest(order_keys, groups) -> tuple[np.ndarray, np.ndarray]:
     return rank, least
 
 
+def _route(ids: np.ndarray, first: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return mix((ids ^ (first << 20) ^ keys).view(np.uint64)).view(np.int64)
+
+
+def _out(route, anchor, ids, keys, first, windows, past) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(anchor), 1 << 14):
+        s = slice(lo, lo + (1 << 14))
+        yield pa.RecordBatch.from_arrays([pa.array(route[s]), pa.array(anchor[s].view(np.int64)), pa.array(ids[s]), pa.array(keys[s]), pa.array(first[s]), pa.array(windows[s], pa.binary()), pa.array(past[s])], [c.split()[0] for c in RUNS.split(", ")])
+
+
+def _one_by_one(span: int, anchor, ids, keys, first, windows) -> Iterator[pa.RecordBatch]:
+    """Runs as windows, each under a key of all its words; of equal windows the earliest goes on, the others are covered."""
+    n = np.array([len(w) >> 3 for w in windows])
+    hashes = np.frombuffer(b"".join(windows), np.uint64)
+    of = np.repeat(np.arange(len(n)), n)
+    at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    rank, least = _earliest((ids[of], keys[of], at), (anchor[of], hashes))
+    late, edges = rank > least, np.append(0, np.cumsum(n))
+    done = [(r, first[r] + lo, first[r] + hi) for r in np.unique(of[late]).tolist() for lo, hi in spans_of(late[edges[r] : edges[r + 1]], span)]
+    if done:
+        r, lo, hi = (np.array(c, np.int64) for c in zip(*done))
+        yield from _out(_route(ids[r], lo, keys[r]), anchor[r], ids[r], keys[r], lo, np.full(len(r), None, object), hi)
+    on = np.flatnonzero(~late)
+    own, of, at = mix(anchor[of[on]] ^ hashes[on]), of[on], at[on]
+    one = np.empty(len(on), object)
+    one[:] = [h.tobytes() for h in hashes[on]]
+    yield from _out(own.view(np.int64), own, ids[of], keys[of], at, one, at + span)
+
+
 class _Gathered:
     """Runs of one task. Of runs with equal words only the earliest goes on; the others are covered."""
 
-    def __init__(self, span: int):
-        self.span, self.parts, self.count = span, [], 0
+    def __init__(self, span: int, hot: np.ndarray):
+        self.span, self.hot, self.parts, self.count = span, hot, [], 0
 
     def add(self, anchor, digest, ids, keys, first, n, windows: list[bytes]) -> None:
         self.parts.append((anchor, digest, ids, keys, first, n, np.array(windows, object)))
@@ -93,23 +124,26 @@ class _Gathered:
         self.parts, self.count = [], 0
         rank, least = _earliest((ids, keys, first), (anchor, digest))
         late = rank > least
-        route = np.where(late, mix((ids ^ (first << 20) ^ keys).view(np.uint64)).view(np.int64), anchor.view(np.int64))
+        route = np.where(late, _route(ids, first, keys), anchor.view(np.int64))
         windows[late] = None
-        for lo in range(0, len(anchor), 1 << 14):
-            s = slice(lo, lo + (1 << 14))
-            yield pa.RecordBatch.from_arrays([pa.array(route[s]), pa.array(anchor[s].view(np.int64)), pa.array(ids[s]), pa.array(keys[s]), pa.array(first[s]), pa.array(windows[s], pa.binary()), pa.array(first[s] + n[s] + self.span - 1)], [c.split()[0] for c in RUNS.split(", ")])
+        hot = in_filter(anchor, self.hot) & ~late
+        yield from _out(*(c[~hot] for c in (route, anchor, ids, keys, first, windows, first + n + self.span - 1)))
+        hot = np.flatnonzero(hot)
+        for lo in range(0, len(hot), CUT_RUNS):
+            yield from _one_by_one(self.span, *(c[hot[lo : lo + CUT_RUNS]] for c in (anchor, ids, keys, first, windows)))
 
 
-def _runs(span: int, seed: int, filled, bits: int):
+def _runs(span: int, seed: int, filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Gathered(span)
+        repeated, hot = filters.value
+        held = _Gathered(span, hot)
         for batch in batches:
             for units, lengths, owners in _chunks(batch, span):
                 rolling = Rolling(units)
                 runs = find_runs(rolling, lengths, span, seed)
                 if not runs:
                     continue
-                maybe = maybe_repeated(runs.anchor, filled.value, bits)
+                maybe = in_filter(runs.anchor, repeated)
                 block, at, n = runs.block[maybe], runs.at[maybe], runs.n[maybe]
                 if not len(at):
                     continue
@@ -165,8 +199,8 @@ def _covered(rows: list[tuple]) -> pa.RecordBatch:
 def repeated_words(docs: DataFrame, span: int = SPAN, seed: int = SEED_WORDS) -> DataFrame:
     """(id, key, first, past): words [first, past) of a document that lie in repeats which start earlier elsewhere."""
     ids = identified(documents(docs))
-    filled, bits, places = repeated_anchors(ids.mapInArrow(_anchors(span, seed), "anchor long"))
-    runs = ids.mapInArrow(_runs(span, seed, filled, bits), RUNS)
+    filters, places = repeated_anchors(ids.mapInArrow(_anchors(span, seed), "anchor long"), HOT_PLACES)
+    runs = ids.mapInArrow(_runs(span, seed, filters), RUNS)
     tasks = n_tasks(docs.sparkSession, places, 100_000)
     return cut(runs.repartition(tasks, "route").sortWithinPartitions("anchor").mapInArrow(_extend(span), COVERED), "repeats")
 
@@ -192,7 +226,7 @@ def drop_repeated_words(docs: DataFrame, span: int = SPAN, seed: int = SEED_WORD
     a window of ``span`` words at a time, and ``repeats`` are the maximal stretches of such windows.
     Windows are judged on the input. Earlier means a smaller doc_id, or an earlier start in the same document.
     Equal stretches under one seed are merged in each task before they shuffle, so a passage copied into
-    any number of documents sends one row a task.
+    any number of documents sends one row a task; windows under a seed of more than HOT_PLACES places go one by one.
 
     A null text has no words. Rows that repeat one doc_id and text count as one document and share its
     result; rows of one doc_id with different texts are ordered by a hash of the text. A null doc_id comes before all others.

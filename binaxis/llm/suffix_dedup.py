@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import cut, documents, n_tasks
-from .substring_dedup import COVERED, _covered
-from .winnow import GATHERED, Rolling, blocks_of, find_runs, identified, maybe_repeated, merged, mix, repeated_anchors, spans_of, with_spans
+from .substring_dedup import COVERED, _covered, _route
+from .winnow import CUT_RUNS, GATHERED, Rolling, blocks_of, find_runs, identified, in_filter, merged, mix, repeated_anchors, spans_of, with_spans
 
 #: Bytes of the shortest repeat, and of a k-gram.
 SPAN, GRAM = 200, 32
+#: Places of an anchor beyond which its windows travel one by one.
+HOT_PLACES = 1 << 14
 #: Stands between texts in a suffix array; no byte of UTF-8.
 BETWEEN = 0xFF
 #: Bytes sorted at a time in a task.
@@ -170,11 +172,43 @@ def _anchors(span: int, gram: int):
     return run
 
 
+def _out(route, anchor, digest, ids, keys, first, past, many, twice, units) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(anchor), 1 << 13):
+        s = slice(lo, lo + (1 << 13))
+        yield pa.RecordBatch.from_arrays([pa.array(route[s]), pa.array(anchor[s].view(np.int64)), pa.array(digest[s].view(np.int64)), pa.array(ids[s]), pa.array(keys[s]), pa.array(first[s]), pa.array(past[s]), pa.array(many[s]), pa.array(twice[s]), pa.array(units[s], pa.binary())], [c.split()[0] for c in RUNS.split(", ")])
+
+
+def _one_by_one(span: int, anchor, ids, keys, first, twice, units) -> Iterator[pa.RecordBatch]:
+    """Runs as windows, each under a key of all its bytes; of equal windows one goes on, marked, and all are covered."""
+    from xxhash import xxh3_128_digest
+
+    n = np.array([len(u) - span + 1 for u in units])
+    windows = [u[i : i + span] for u, m in zip(units, n.tolist()) for i in range(m)]
+    high, low = np.frombuffer(b"".join(map(xxh3_128_digest, windows)), np.uint64).reshape(-1, 2).T
+    of = np.repeat(np.arange(len(n)), n)
+    at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort((low, high))
+    new = np.append(True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
+    one, same = order[new], np.empty(len(order), np.int64)
+    same[order] = np.cumsum(new) - 1
+    again = np.bincount(same) > 1
+    np.logical_or.at(again, same, twice[of])
+    flags, edges = again[same], np.append(0, np.cumsum(n))
+    done = [(r, first[r] + lo, first[r] + hi) for r in np.unique(of[flags]).tolist() for lo, hi in spans_of(flags[edges[r] : edges[r + 1]], span)]
+    if done:
+        r, lo, hi = (np.array(c, np.int64) for c in zip(*done))
+        none = np.zeros(len(r), bool)
+        yield from _out(_route(ids[r], lo, keys[r]), anchor[r], anchor[r], ids[r], keys[r], lo, hi, none, none, np.full(len(r), None, object))
+    own, cuts, of, at = high[one], np.empty(len(one), object), of[one], at[one]
+    cuts[:] = [windows[i] for i in one.tolist()]
+    yield from _out(own.view(np.int64), own, low[one], ids[of], keys[of], at, at + span, np.zeros(len(one), bool), again, cuts)
+
+
 class _Gathered:
     """Runs of one task. Of runs with equal bytes one goes on, marked; all of them are covered."""
 
-    def __init__(self):
-        self.parts, self.count = [], 0
+    def __init__(self, span: int, hot: np.ndarray):
+        self.span, self.hot, self.parts, self.count = span, hot, [], 0
 
     def add(self, *columns) -> None:
         self.parts.append(columns)
@@ -191,27 +225,26 @@ class _Gathered:
         again = np.append(False, ~fresh[1:] & (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1]) & (first[1:] == first[:-1]))
         group = np.cumsum(fresh) - 1
         twice = (np.bincount(group, weights=~again) > 1)[group]
-        keep = ~again
         units[~fresh] = None
-        route = np.where(fresh, anchor.view(np.int64), mix((ids ^ (first << 20) ^ keys).view(np.uint64)).view(np.int64))
-        past = first + n
-        names = [c.split()[0] for c in RUNS.split(", ")]
-        at = np.flatnonzero(keep)
-        for lo in range(0, len(at), 1 << 13):
-            s = at[lo : lo + (1 << 13)]
-            yield pa.RecordBatch.from_arrays([pa.array(route[s]), pa.array(anchor[s].view(np.int64)), pa.array(digest[s].view(np.int64)), pa.array(ids[s]), pa.array(keys[s]), pa.array(first[s]), pa.array(past[s]), pa.array(many[s]), pa.array(twice[s]), pa.array(units[s], pa.binary())], names)
+        route = np.where(fresh, anchor.view(np.int64), _route(ids, first, keys))
+        hot = in_filter(anchor, self.hot) & fresh
+        yield from _out(*(c[~again & ~hot] for c in (route, anchor, digest, ids, keys, first, first + n, many, twice, units)))
+        hot = np.flatnonzero(hot)
+        for lo in range(0, len(hot), CUT_RUNS):
+            yield from _one_by_one(self.span, *(c[hot[lo : lo + CUT_RUNS]] for c in (anchor, ids, keys, first, twice, units)))
 
 
-def _runs(span: int, gram: int, filled, bits: int):
+def _runs(span: int, gram: int, filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Gathered()
+        repeated, hot = filters.value
+        held = _Gathered(span, hot)
         for batch in batches:
             for units, lengths, owners in _chunks(batch, span):
                 rolling = Rolling(BYTE_VALUES[units])
                 runs = find_runs(rolling, lengths, span, gram)
                 if not runs:
                     continue
-                maybe = maybe_repeated(runs.anchor, filled.value, bits)
+                maybe = in_filter(runs.anchor, repeated)
                 block, at, n = runs.block[maybe], runs.at[maybe], runs.n[maybe] + span - 1
                 if not len(at):
                     continue
@@ -273,8 +306,8 @@ def _compare(span: int, sorted_bytes: int = SORTED_BYTES):
 def repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(id, key, first, past): bytes [first, past) of a document covered by strings that also start elsewhere."""
     ids = identified(documents(docs))
-    filled, bits, places = repeated_anchors(ids.mapInArrow(_anchors(span, gram), "anchor long"))
-    runs = ids.mapInArrow(_runs(span, gram, filled, bits), RUNS)
+    filters, places = repeated_anchors(ids.mapInArrow(_anchors(span, gram), "anchor long"), HOT_PLACES)
+    runs = ids.mapInArrow(_runs(span, gram, filters), RUNS)
     tasks = n_tasks(docs.sparkSession, places, 20_000)
     return cut(runs.repartition(tasks, "route").sortWithinPartitions("anchor").mapInArrow(_compare(span), COVERED), "repeats")
 
@@ -300,7 +333,8 @@ def drop_repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM) ->
     A byte goes if a string of ``span`` bytes that covers it also starts elsewhere, in any document or
     the same one; strings are judged on the input. Runs of windows meet under their anchors; each task sorts the
     suffixes of the different runs it got and compares neighbours. Equal runs are merged in each task before they
-    shuffle and are repeats outright, so a text copied any number of times sends one run a task.
+    shuffle and are repeats outright, so a text copied any number of times sends one run a task. Windows under an anchor of more than
+    HOT_PLACES places go one by one, so that no task must hold all that surrounds a frequent phrase.
 
     A null text is empty. Rows that repeat one doc_id and text count as one document and share
     its result. ``kept`` is binary: a cut may fall inside a character.

@@ -3,7 +3,9 @@
 A text is a row of units (words or bytes). A window is ``span`` consecutive units, and its anchor the least
 hash of the k-grams in it. Equal windows have equal anchors, so windows need comparing only under
 one anchor, and an anchor seen in one place alone needs no comparing. Consecutive windows with one anchor
-are a run; a run, with the units that its windows cover, is what travels.
+are a run; a run, with the units that its windows cover, is what travels. Where an anchor is met in very many places (a phrase
+that a large part of all texts holds, each time among other words) the different runs under it could outgrow a task:
+there each window travels alone, under a key of all its units.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ RUN_WINDOWS, BLOCK_WINDOWS = 1024, 1 << 21
 FILTER_BITS, LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 1 << 19, 1 << 29, 1 << 19
 #: Runs that a task gathers before it merges equal ones.
 GATHERED = 250_000
+#: Runs that are cut into windows at a time.
+CUT_RUNS = 2048
 #: Stands for a null doc_id, which comes before all others.
 NULL_ID = -(1 << 63)
 
@@ -150,26 +154,33 @@ def _chunk_bits(bits: int):
     return run
 
 
-def repeated_anchors(anchors: DataFrame):
-    """(broadcast filter, its bits, places of repeated anchors) from a column ``anchor`` with a row per run.
+def _filter(anchors: DataFrame, n: int) -> np.ndarray:
+    """Bloom filter of n anchors, as bytes; its size is a power of two and MOST_BITS bits at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, FILTER_BITS * n - 1).bit_length()))
+    filled = np.zeros(bits >> 3, np.uint8)
+    if n:
+        for r in anchors.coalesce(8).mapInArrow(_chunk_bits(bits), "chunk int, bits binary").toLocalIterator():  # at most 8 parts of each chunk
+            lo = r["chunk"] * (CHUNK_BITS >> 3)
+            filled[lo : lo + (CHUNK_BITS >> 3)] |= np.frombuffer(r["bits"], np.uint8)
+    return filled
+
 
-    The Bloom filter of anchors seen twice or more has MOST_BITS bits at most, whatever the input, so
-    it may travel to every worker. On an input too large for it, more runs than needed travel; none is lost.
+def repeated_anchors(anchors: DataFrame, hot: int):
+    """(broadcast filters of repeated and of hot anchors, places of repeated anchors) from a column ``anchor`` with a row per run.
+
+    Repeated anchors are seen twice or more, hot ones in more than ``hot`` places. Each Bloom filter has MOST_BITS bits
+    at most, whatever the input, so it may travel to every worker. On an input too large for it, more runs
+    than needed travel, or are cut into windows; none is lost.
     """
-    spark = anchors.sparkSession
     often = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
-    n, places = often.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, FILTER_BITS * n - 1).bit_length()))
-    parts = often.select("anchor").coalesce(8).mapInArrow(_chunk_bits(bits), "chunk int, bits binary")
-    filled = np.zeros(bits >> 3, np.uint8)
-    for r in parts.toLocalIterator():  # at most 8 parts of each chunk
-        lo = r["chunk"] * (CHUNK_BITS >> 3)
-        filled[lo : lo + (CHUNK_BITS >> 3)] |= np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast(filled), bits, int(places)
+    is_hot = F.col("n") > hot
+    n, n_hot, places = often.agg(F.count(F.lit(1)), F.count_if(is_hot), F.coalesce(F.sum("n"), F.lit(0))).first()
+    filters = _filter(often.select("anchor"), n), _filter(often.filter(is_hot).select("anchor"), n_hot)
+    return anchors.sparkSession.sparkContext.broadcast(filters), int(places)
 
 
-def maybe_repeated(anchors: np.ndarray, filled: np.ndarray, bits: int) -> np.ndarray:
-    a, b = slots(anchors, bits)
+def in_filter(anchors: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    a, b = slots(anchors, len(filled) << 3)
     hit = lambda at: (filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
     out = hit(a)
     out[out] = hit(b[out])

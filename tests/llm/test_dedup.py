@@ -61,6 +61,14 @@ def test_substrings(docs, rows):
     assert got == words_removed(rows, 20)
 
 
+@pytest.mark.parametrize("hot", [1, 12])
+def test_substrings_under_hot_seeds(docs, rows, hot, monkeypatch):
+    """Windows that travel one by one, all of them or some, give the same."""
+    monkeypatch.setattr(substring_dedup, "HOT_PLACES", hot)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.drop_repeated_words(docs).collect()}
+    assert got == words_removed(rows, 20)
+
+
 def test_substrings_odd_rows(odd, nothing):
     got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.drop_repeated_words(odd).collect()]
     assert sorted(got, key=str) == sorted([(None, 40, 0), (5, 40, 40), (5, 40, 40), (5, 40, 40), (6, 41, 40)], key=str)
@@ -85,6 +93,13 @@ def test_suffixes(docs, rows):
     assert got == bytes_removed(rows, 200)
 
 
+@pytest.mark.parametrize("hot", [1, 12])
+def test_suffixes_under_hot_anchors(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_PLACES", hot)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffix_dedup.drop_repeated_bytes(docs).collect()}
+    assert got == bytes_removed(rows, 200)
+
+
 def test_suffixes_odd_rows(odd, nothing, spark):
     long = odd.withColumn("text", __import__("pyspark.sql.functions", fromlist=["x"]).repeat("text", 3))
     got = {(r["doc_id"], r["n_bytes"] - r["n_removed"]) for r in suffix_dedup.drop_repeated_bytes(long).collect()}
