@@ -49,16 +49,20 @@ def fingerprint(hashes: np.ndarray) -> int:
 def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = 0
             for ids, texts in chunks(batch, rows=512):
                 prints = np.array([fingerprint(shingle_hashes(t, k)) if t else 0 for t in texts], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+                more = [c.slice(at, len(ids)) for c in batch.columns[2:]]
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints.view(np.int64)), *more], ["doc_id", "print", *batch.schema.names[2:]])
 
     return run
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, print): the fingerprint's bits as a signed long; 0 for a null or wordless text."""
-    return documents(docs).mapInArrow(_fingerprints(k), "doc_id long, print long")
+def fingerprints(docs: DataFrame, k: int = SHINGLE, *more: str) -> DataFrame:
+    """(doc_id, print, *more): the fingerprint's bits as a signed long; 0 for a null or wordless text."""
+    kinds = dict(docs.dtypes)
+    return documents(docs, *more).mapInArrow(_fingerprints(k), ", ".join(["doc_id long", "print long", *(f"{c} {kinds[c]}" for c in more)]))
 
 
 # --- links ---
@@ -225,6 +229,16 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, budget: int = BUDGET) -> Data
 
 
 def drop_near(docs: DataFrame, k: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id."""
-    keep = near_groups(docs, k, budget).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, with all its columns: that of the smallest doc_id, and of rows with this doc_id that of the least hash.
+
+    Rows are told apart by a hash of doc_id and text, so rows of one doc_id in different components each stay.
+    A null doc_id comes after all others; a component of only null doc_ids keeps one row too.
+    """
+    shown = [F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-")) for c in ("doc_id", "text")]
+    keyed = docs.withColumn("_row", F.unhex(F.md5(F.concat(shown[0], F.lit("\x00"), shown[1]))))
+    marked = cut(fingerprints(keyed, k, "_row"), "prints")
+    nodes = marked.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
+    roots = components(print_links(nodes.select("print"), budget))
+    whole = nodes.join(roots, nodes["print"] == roots["u"], "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("first").alias("first"))
+    keep = cut(whole.select(F.col("first")["_row"].alias("_keep")), "near-kept")
+    return keyed.join(keep, keyed["_row"] == keep["_keep"], "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -180,6 +180,17 @@ def test_simhash_odd_rows(odd, nothing, spark):
     assert [r["component_id"] for r in simhash.near_groups(alone).collect()] == [None]
 
 
+def test_drop_near_keeps_a_row_of_each_component(spark):
+    """Null and repeated doc_ids: texts of different components all stay, near copies go."""
+    rng = random.Random(5)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, e), (None, e), (9, f.upper()), (8, f), (None, f)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len({by_hand(t) for t in (a, b, c, d, e, f)}) == 6
+    kept = sorted(map(tuple, simhash.drop_near(docs).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (None, c), (7, d), (7, e), (8, f)], key=str)
+
+
 @pytest.mark.parametrize("agree", [1, 2, 3])
 def test_trie_join_finds_all_pairs(agree, monkeypatch):
     rng, size = random.Random(agree), {1: 100, 2: (1 << 22) + 1, 3: (1 << 30) + 1}[agree]
