@@ -15,7 +15,7 @@ from .common import cut, n_tasks, n_words
 
 #: Weights of the sources in code point order, over and over, and the most often a word is taken.
 WEIGHTS, MOST_REPEATS = (1, 2, 3), 3
-#: Words a block may hold, and blocks that the smallest target should have at least.
+#: Words a block may hold (a source whose target is small takes shorter ones), and blocks that a target should have at least.
 BLOCK_WORDS, BLOCKS_LEAST = (16, 4096), 200
 #: Blocks an output shard is made for, and the most rows of the table of draws.
 SHARD_BLOCKS, MOST_DRAWS = 4096, 200_000
@@ -27,6 +27,7 @@ class Source:
     name: str | None
     size: int
     target: float
+    words: int  # of a block
     blocks: int
     quota: int  # blocks the mix takes
 
@@ -46,17 +47,26 @@ def share_out(sizes: list[int], weights: list[float], most: float = MOST_REPEATS
     return out
 
 
-def plan_sources(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MOST_REPEATS) -> tuple[list[Source], int]:
-    """The sources in code point order, null last, with targets and quotas; and the words of a block."""
+def _length(target: float) -> int:
+    """The power of two that cuts a target into BLOCKS_LEAST blocks or more; 1 for a target below that."""
+    return 1 << max(0, int(target / BLOCKS_LEAST).bit_length() - 1)
+
+
+def plan_sources(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MOST_REPEATS) -> list[Source]:
+    """The sources in code point order, null last, with targets, block lengths and quotas.
+
+    The smallest target sets the length of all blocks within BLOCK_WORDS; a source whose own target is too small for it takes
+    shorter ones, of one word at least. A quota counts blocks of the mean length, so whole turns take a source exactly.
+    """
     names = sorted((n for n in sizes if n is not None)) + [None] * (None in sizes)
     targets = share_out([sizes[n] for n in names], [weights[i % len(weights)] for i in range(len(names))], most)
-    least = min((t for t in targets if t > 0), default=1.0)
-    words = min(BLOCK_WORDS[1], max(BLOCK_WORDS[0], 1 << max(0, int(least / BLOCKS_LEAST).bit_length() - 1)))
+    common = min(BLOCK_WORDS[1], max(BLOCK_WORDS[0], _length(min((t for t in targets if t > 0), default=1.0))))
     out = []
     for i, (n, t) in enumerate(zip(names, targets)):
+        words = min(common, _length(t))
         blocks = -(-sizes[n] // words)
-        out.append(Source(i, n, sizes[n], t, blocks, min(most * blocks, round(t / words))))
-    return out, words
+        out.append(Source(i, n, sizes[n], t, words, blocks, min(most * blocks, round(t * blocks / sizes[n])) if blocks else 0))
+    return out
 
 
 def draw_shards(quotas: list[int], seed: int) -> Iterator[tuple[int, int, int, int]]:
@@ -112,24 +122,24 @@ def _slots(blocks: list[int], seed: int):
 
 @dataclass
 class Mix:
-    """``sources``, the words of a block, ``taken_blocks`` (shard, source_no, slot, block) and ``placed`` rows."""
+    """``sources``, ``taken_blocks`` (shard, source_no, slot, block) and ``placed`` rows."""
 
     sources: list[Source]
-    block_words: int
     taken_blocks: DataFrame
     placed: DataFrame
 
     def source_table(self) -> DataFrame:
-        rows = [(s.number, s.name, s.size, s.target) for s in self.sources]
-        return self.placed.sparkSession.createDataFrame(rows, "source_no int, source_name string, source_size long, target double")
+        rows = [(s.number, s.name, s.size, s.target, s.words) for s in self.sources]
+        return self.placed.sparkSession.createDataFrame(rows, "source_no int, source_name string, source_size long, target double, block_words int")
 
     def pieces(self) -> DataFrame:
-        """(source_no, place, block, words, times): the part of each placed row in each block that the mix takes."""
-        b = self.block_words
-        spans = self.placed.filter("size > 0").select("source_no", "place", "size", F.explode(F.sequence(F.expr(f"place div {b}"), F.expr(f"(place + size - 1) div {b}"))).alias("block"))
+        """(source_no, place, block, block_words, words, times): the part of each placed row in each block that the mix takes."""
+        b = F.col("block_words")
+        sized = self.placed.filter("size > 0").join(F.broadcast(self.source_table().select("source_no", "block_words")), "source_no")
+        spans = sized.select("source_no", "place", "size", "block_words", F.explode(F.sequence(F.expr("place div block_words"), F.expr("(place + size - 1) div block_words"))).alias("block"))
         words = F.least(F.col("place") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("place"), F.col("block") * b)
         times = self.taken_blocks.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-        return spans.join(times, ["source_no", "block"]).select("source_no", "place", "block", words.alias("words"), "times")
+        return spans.join(times, ["source_no", "block"]).select("source_no", "place", "block", "block_words", words.alias("words"), "times")
 
 
 def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -158,7 +168,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int =
     """Plan a mix of all words of ``docs`` whose sources near their targets.
 
     The sources' totals are collected to the driver: a row for each source. A block is the next so many words of a source's stream; its
-    length follows the smallest target. Every word lies in one block, and a source's slots visit each
+    length follows the smallest target, and is less in sources too small for it. Every word lies in one block, and a source's slots visit each
     of its blocks once before any again, so no word is taken more than ``most`` times.
 
     A null source is a source of its own, last in order. A null text has size 0 and takes nothing.
@@ -167,12 +177,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int =
     spark = docs.sparkSession
     sized = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), row_key(docs).alias("row_key")), "mix-sizes")
     totals = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
-    sources, words = plan_sources(totals, weights, most)
+    sources = plan_sources(totals, weights, most)
     draws = list(draw_shards([s.quota for s in sources], seed))
     drawn = spark.createDataFrame(draws, "shard long, source_no int, first long, slots long")
     drawn = drawn.repartition(n_tasks(spark, len(draws), 1000)) if draws else drawn
     taken = drawn.mapInArrow(_slots([s.blocks for s in sources], seed), "shard long, source_no int, slot long, block long")
-    out = Mix(sources, words, taken, sized.limit(0))
+    out = Mix(sources, taken, sized.limit(0))
     out.placed = cut(_placed(sized, out.source_table()), "mix-places")
     return out
 
@@ -192,14 +202,14 @@ def _cut_text(text: str, place: int, block_words: int, times: dict[int, int], tu
     return text if len(kept) == len(words) else b" ".join(kept).decode("utf-8", "surrogatepass")
 
 
-def _texts(block_words: int, at: int):
+def _texts(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             plans, turns = batch.column("_plans").to_pylist(), batch.column("_turn").to_pylist()
             texts = batch.column(at)
             rows, new = [], []
             for i, (plan, k) in enumerate(zip(plans, turns)):
-                place, blocks = plan[k - 1]["place"], {b["block"]: b["times"] for b in plan[k - 1]["blocks"]}
+                place, block_words, blocks = plan[k - 1]["place"], plan[k - 1]["block_words"], {b["block"]: b["times"] for b in plan[k - 1]["blocks"]}
                 text = texts[i].as_py()
                 for turn in range(1, max(blocks.values()) + 1):
                     rows.append(i)
@@ -218,12 +228,12 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, se
     the taken words joined by one space. n_chars, if there is such a column, counts the new text's characters.
     """
     m = mix(docs, weights, most, seed)
-    plan = m.pieces().groupBy("source_no", "place").agg(F.collect_list(F.struct("block", "times")).alias("blocks"))
+    plan = m.pieces().groupBy("source_no", "place", "block_words").agg(F.collect_list(F.struct("block", "times")).alias("blocks"))
     of = m.placed.filter("size > 0").select("row_key", "source_no", "place").join(plan, ["source_no", "place"])
-    plans = of.groupBy(F.col("row_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("place", "source_no", "blocks"))).alias("_plans"))
-    plans = plans.withColumn("_plans", F.transform("_plans", lambda p: F.struct(p["place"].alias("place"), p["blocks"].alias("blocks"))))
+    plans = of.groupBy(F.col("row_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("place", "source_no", "block_words", "blocks"))).alias("_plans"))
+    plans = plans.withColumn("_plans", F.transform("_plans", lambda p: F.struct(p["place"].alias("place"), p["block_words"].alias("block_words"), p["blocks"].alias("blocks"))))
     keyed = docs.withColumn("_row", row_key(docs))
     keyed = keyed.withColumn("_turn", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
     found = keyed.join(plans, keyed["_row"] == plans["_key"]).filter(F.col("_turn") <= F.size("_plans")).select(*docs.columns, "_plans", "_turn")
-    out = found.mapInArrow(_texts(m.block_words, docs.columns.index("text")), docs.schema)
+    out = found.mapInArrow(_texts(docs.columns.index("text")), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

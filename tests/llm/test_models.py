@@ -153,6 +153,22 @@ def test_mix(docs, rows, nothing, odd):
     assert mixing.mix_report(odd).count() == 5
 
 
+@pytest.mark.parametrize("sizes", [(1_000_000, 800_000, 2), (1_000_000, 800_000, 7), (1_000_000, 800_000, 17), (1_000_000, 800_000, 33), (5, 5, 5), (3000, 1, 90, 0), (50_000, 40, 7000)])
+def test_small_sources_near_their_targets(sizes):
+    for s in mixing.plan_sources({f"s{i}": n for i, n in enumerate(sizes)}):
+        at = mixing.permuted(np.arange(s.quota) % s.blocks, s.blocks, 17 + s.number) if s.quota else np.zeros(0, np.int64)
+        taken = int((np.minimum(s.size, (at + 1) * s.words) - at * s.words).sum())
+        assert abs(taken - s.target) <= 0.5 + 0.02 * s.target
+        assert taken <= 3 * s.size and (s.target < 3 * s.size or taken == s.target)
+
+
+def test_small_sources_stay_in_the_mix(spark):
+    rows = [(i, " ".join(["word"] * 400), None, "a" if i % 2 else "b", 0) for i in range(40)] + [(100, "two words", None, "c", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert [(r["target"], r["taken"]) for r in mixing.mix_report(docs).collect() if r["doc_id"] == 100] == [(6.0, 6)]
+    assert [r["text"] for r in mixing.mix_documents(docs).collect() if r["doc_id"] == 100] == ["two words"] * 3
+
+
 def test_mixed_texts_hold_the_words_taken(docs, rows, odd, nothing):
     words, report = Counter(), {r["doc_id"]: r["taken"] for r in mixing.mix_report(docs).collect()}
     out = mixing.mix_documents(docs)
