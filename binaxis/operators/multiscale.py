@@ -69,13 +69,15 @@ def best_sets(q: np.ndarray, k: int) -> list[tuple[float, list[tuple[int, int]]]
     n = q.shape[1] - 1
     inside: list[list] = [[(0.0, ())], []]  # (score, windows from the last back, as nested pairs)
     whole: list[list] = [[(0.0, ())], [(0.0, ())]]
+    before: list = []  # the best of inside[1 .. l - 2]
     for l in range(2, n + 1):
         d = np.arange(2, min(l, q.shape[0] - 1) + 1)
         own = q[d, l - d]
         ways = [(s + own[x], ((l - d[x], l - 1), w)) for x in np.flatnonzero(own > -np.inf).tolist() for s, w in whole[l - d[x]]]
         inside.append(heapq.nlargest(k, ways, key=lambda w: w[0]))
-        before = [w for m in range(1, l - 1) for w in inside[m]]  # a gap after a window, or no window at all
-        whole.append(heapq.nlargest(k, [*inside[l], *before, (0.0, ())], key=lambda w: w[0]))
+        if l > 2:
+            before = heapq.nlargest(k, [*before, *inside[l - 2]], key=lambda w: w[0])
+        whole.append(heapq.nlargest(k, [*inside[l], *before, (0.0, ())], key=lambda w: w[0]))  # a gap after a window, or no window at all
     out = []
     for score, w in whole[n]:
         windows = []

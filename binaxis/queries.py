@@ -549,7 +549,7 @@ def armatus_domains(spark, sf_dir):
 
 @query("armatus_top_sets")
 def armatus_top_sets(spark, sf_dir):
-    return X.domain_sets(binned(spark, sf_dir).filter("i < 40 and j < 40"), [0.5], 10, k=3).select("chrom", "gamma", "rank", r6("weight"), "first", "last")
+    return X.domain_sets(binned(spark, sf_dir), [0.5], 10, k=3).select("chrom", "gamma", "rank", r6("weight"), "first", "last")
 
 
 @query("penalty_sweep_choice")
