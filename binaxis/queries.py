@@ -17,6 +17,7 @@ from .operators import spectral as P
 from .operators import states as T
 from .operators.range_join import near
 from .plans.callers import eligible
+from .plans.config import Config
 from .plans.render import heat_cells, lines, triangles
 from .schema import KEY
 from .sources import events as E
@@ -26,6 +27,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Reach and step of the peak profile; permutations; gammas of size means; bins of the distance mask.
 REACH, STEP, PERMUTATIONS, GAMMAS, MASK = 36000, 3600, 50, [0.5, 1.0], 20
+#: Bins of the longest domain and of the farthest contact, as a run has them by default.
+LONGEST, FARTHEST = Config().max_tad_kb * 1000 // E.CONTACT_RES, int(Config().max_distance_mb * 1e6 // E.CONTACT_RES)
 
 
 def query(name: str, sql: str | None = None):
@@ -544,7 +547,7 @@ def hierarchy_selection(spark, sf_dir):
 def armatus_domains(spark, sf_dir):
     c = binned(spark, sf_dir)
     sizes = S.n_bins(c).select("chrom", (F.col("n") * E.CONTACT_RES).alias("size"))
-    return X.multiscale_domains(c, sizes, [0.1, 0.3, 0.5], 30).select("chrom", "start", "end")
+    return X.multiscale_domains(c, sizes, list(Config().gammas), 30).select("chrom", "start", "end")
 
 
 @query("armatus_top_sets")
@@ -555,12 +558,12 @@ def armatus_top_sets(spark, sf_dir):
 @query("penalty_sweep_choice")
 def penalty_sweep_choice(spark, sf_dir):
     c = binned(spark, sf_dir)
-    return G.choose_penalty(G.sweep(S.observed_over_expected(c).join(S.n_bins(c), KEY), 4, 40)).select("chrom", "ord", "penalty", "n_tads")
+    return G.choose_penalty(G.sweep(S.observed_over_expected(c).join(S.n_bins(c), KEY), 4, LONGEST)).select("chrom", "ord", "penalty", "n_tads")
 
 
 @query("modularity_domains")
 def modularity_domains(spark, sf_dir):
-    return G.flank_contrast_domains(binned(spark, sf_dir), 4, 40, 100).select("chrom", "start", "end")
+    return G.flank_contrast_domains(binned(spark, sf_dir), 4, LONGEST, FARTHEST).select("chrom", "start", "end")
 
 
 @query("dihmm_domains")
