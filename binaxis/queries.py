@@ -628,7 +628,7 @@ def enrichment_summary(spark, sf_dir):
 def enrichment_validation(spark, sf_dir):
     ev = E.events(spark, sf_dir)
     own = E.domains(ev)
-    out = N.validation(own, B.consensus(own), E.peaks(ev), E.sizes(ev), 7200, PERMUTATIONS)
+    out = N.validation(own, B.consensus(own), E.peaks(ev), E.sizes(ev), 7200, Config().permutations)
     return out.select("type", "algorithm", "support", "chrom", "observed_count", r6("mean_random"), r6("std_random"), r6("enrichment_score"), r6("p_value"), r6("z_score"))
 
 
