@@ -50,7 +50,7 @@ def reference(ev: DataFrame, factor: int = 2) -> DataFrame:
 
 
 def peaks(ev: DataFrame) -> DataFrame:
-    return ev.filter("event_id % 4 = 0").select(F.col("event_id").alias("peak_id"), "chrom", F.col("t").alias("start"), (F.col("t") + PEAK).alias("end"))
+    return ev.select(F.col("event_id").alias("peak_id"), "chrom", F.col("t").alias("start"), (F.col("t") + PEAK).alias("end"))
 
 
 def sizes(ev: DataFrame) -> DataFrame:
