@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import documents
-from .tokens import cuts, encoder, tokenizer_path
+from .tokens import CHUNK_ROWS, STRETCH, cuts, encoder, tokenizer_path
 
 #: Context sizes, longest first. All are powers of two.
 TIERS = (4096, 2048, 1024, 512)
@@ -22,6 +21,37 @@ WAITING_IDS, STEP_IDS = 1 << 22, 64 * 4096
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 
 
+class Pool:
+    """Pieces by length; a bit for each length that is there, so that finding one costs the same however many wait."""
+
+    def __init__(self, pieces: list[tuple[int, int, int]]):
+        self.by: dict[int, list[tuple[int, int, int]]] = {}
+        self.bits = 0
+        for doc, at, n in sorted(pieces):
+            self.add(doc, at, n)
+
+    def __bool__(self) -> bool:
+        return self.bits > 0
+
+    def add(self, doc: int, at: int, n: int) -> None:
+        self.by.setdefault(n, []).append((doc, at, n))
+        self.bits |= 1 << n
+
+    def take(self, n: int) -> tuple[int, int, int]:
+        own = self.by[n]
+        piece = own.pop()
+        if not own:
+            self.bits ^= 1 << n
+        return piece
+
+    def longest(self, most: int) -> int:
+        """The greatest length of at most ``most``; 0 if there is none."""
+        return max(0, (self.bits & ((2 << most) - 1)).bit_length() - 1)
+
+    def shortest(self) -> int:
+        return (self.bits & -self.bits).bit_length() - 1
+
+
 class Packer:
     """Packs pieces (document number, first id, length) into windows; holds a bounded number of ids.
 
@@ -50,20 +80,19 @@ class Packer:
         with the longest waiting shorter pieces that fit; where none fits, the shortest is cut. Windows
         that can't be filled wait for the next flush; in the last one they are cut into powers of two.
         """
-        pool = sorted((n, doc, at) for doc, at, n in self.rest)
+        pool = Pool(self.rest)
         self.rest, self.waiting = [], 0
         for tier, shorter in zip(self.tiers, (*self.tiers[1:], 0)):
-            while pool and pool[-1][0] > shorter:
-                n, doc, at = pool.pop()
+            while pool.longest(tier) > shorter:
+                doc, at, n = pool.take(pool.longest(tier))
                 window, gap = [(doc, at, n)], tier - n
                 while gap and pool:
-                    k = bisect_right(pool, (gap, float("inf"))) - 1
-                    n, doc, at = pool.pop(max(k, 0))
+                    doc, at, n = pool.take(pool.longest(gap) or pool.shortest())
                     take = min(n, gap)
                     window.append((doc, at, take))
                     gap -= take
                     if n > take:
-                        insort(pool, (n - take, doc, at + take))
+                        pool.add(doc, at + take, n - take)
                 if gap:
                     self.rest += window
                 else:
@@ -133,7 +162,7 @@ def _pack(path: str, tiers, waiting_ids: int, step_ids: int):
 
         ready: list[tuple[int, list]] = []
         for batch in batches:
-            for lo, hi in cuts(batch.column(1), 2 << 20):
+            for lo, hi in cuts(batch.column(1), STRETCH, CHUNK_ROWS):
                 flat, ends = encode.encode(batch.column(1).slice(lo, hi - lo))
                 for doc_id, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), np.split(flat, ends[:-1])):
                     held[dealt] = [doc_id, ids, len(ids)]
@@ -143,6 +172,8 @@ def _pack(path: str, tiers, waiting_ids: int, step_ids: int):
                     ready += packer.flush(last=False)
                     yield from out(ready)
                     ready = []
+                    for own in held.values():  # few; else they would keep the ids of their whole chunks
+                        own[1] = own[1].copy()
         ready += packer.flush(last=True)
         yield from out(ready)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, fresh_path, local_fs
-from .tokens import cuts, encoder, tokenizer_path
+from .tokens import CHUNK_ROWS, STRETCH, cuts, encoder, tokenizer_path
 
 MAGIC, INDEX_MAGIC = b"TOKSHRD1", b"TOKINDX1"
 TRAILER = "<QQQ8s"
@@ -186,7 +186,7 @@ def _encode(path: str, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, edges = encoder(path), np.array(bounds, np.int64)
         for batch in batches:
-            for lo, hi in cuts(batch.column(1), 2 << 20):
+            for lo, hi in cuts(batch.column(1), STRETCH, CHUNK_ROWS):
                 at = batch.column(0).slice(lo, hi - lo).to_numpy()
                 flat, ends = encode.encode(batch.column(1).slice(lo, hi - lo))
                 places = np.append(0, ends * flat.itemsize).astype(np.int32)

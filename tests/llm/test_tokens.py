@@ -1,5 +1,7 @@
 """Packing and the token store against the tokenizers library itself."""
 
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -50,6 +52,41 @@ def test_small_memory_same_ids(monkeypatch, rows, ids):
         assert flat.tolist() == ids[r[0]]
 
 
+def test_long_texts_go_through_in_stretches(monkeypatch, library):
+    monkeypatch.setattr(tokens, "STRETCH", 1000)
+    monkeypatch.setattr(tokens, "AT_ONCE", 64)
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    for text in ("Some words, é. " * 400, "no space:" + "a1,b2;c" * 900, "x" * 3000, "\n".join(["12,the;<|endoftext|>"] * 200), "end " * 600 + "\n"):
+        flat, ends = encoder.encode(pa.array([text]))
+        assert flat.tolist() == [*library.encode(text, add_special_tokens=False).ids, tokens.END_ID] and ends.tolist() == [len(flat)]
+
+
+def test_another_vocabulary():
+    encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["Some words,  and\nlines. ", "", None, "é x"]
+    flat, ends = encoder.encode(pa.array(texts))
+    wanted = [[*e.ids, tokens.END_ID] for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(flat, ends[:-1])] == wanted
+
+
+def test_memory_of_a_worker_is_bounded():
+    """Texts of words that never come again: what a worker holds does not follow the number of words."""
+    code = """
+import resource, random, pyarrow as pa
+from binaxis.llm import tokens
+encoder, r = tokens.Encoder(tokens.tokenizer_path()), random.Random(1)
+peak = []
+for turn in range(6):
+    texts = [" ".join("".join(r.choices("abcdefghijklm", k=9)) for _ in range(200)) for _ in range(2000)]
+    for lo, hi in tokens.cuts(pa.array(texts), tokens.STRETCH, tokens.CHUNK_ROWS):
+        encoder.encode(pa.array(texts[lo:hi]))
+    peak.append(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+print(peak[1], peak[-1])
+"""
+    early, late = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split())
+    assert late < 600 and late - early < 100
+
+
 def checked(pieces, ids, padded=4096):
     """Every id in one piece, windows gapless from 0; returns the padding."""
     of, windows = defaultdict(list), defaultdict(list)
