@@ -20,11 +20,13 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, as a URI without a trailing slash.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) a folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests, a
+    laptop) a folder of this machine is used; executors elsewhere would not see it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return named.rstrip("/")
 
@@ -63,6 +65,19 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"), *(df[c] for c in more))
 
 
+def whole_row(df: DataFrame) -> tuple[Column, Column]:
+    """(all columns as one struct, what is in those other than doc_id and text as one string), so that columns of any name can't clash."""
+    named = [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+    others = [column for c, column in zip(df.columns, named) if c not in ("doc_id", "text")]
+    return F.struct(*named), F.to_json(F.struct(*others)) if others else F.lit("")
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits that tell rows that differ in any column apart."""
+    shown = [F.coalesce(F.concat(F.lit("="), df[c].cast("string")), F.lit("-")) for c in ("doc_id", "text")]
+    return F.unhex(F.md5(F.concat(shown[0], F.lit("\x00"), whole_row(df)[1], F.lit("\x00"), shown[1])))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 

@@ -8,15 +8,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_tasks, n_words
+from .common import cut, n_tasks, n_words, row_key, whole_row
 
 #: Weights of the sources in code point order, over and over, and the most often a word is taken.
 WEIGHTS, MOST_REPEATS = (1, 2, 3), 3
 #: Words a block may hold (a source whose target is small takes shorter ones), and blocks that a target should have at least.
 BLOCK_WORDS, BLOCKS_LEAST = (16, 4096), 200
+#: Sources that a mix may have.
+MOST_SOURCES = 100_000
 #: Blocks an output shard is made for, and the most rows of the table of draws.
 SHARD_BLOCKS, MOST_DRAWS = 4096, 200_000
 
@@ -158,16 +160,10 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["source_no", "part"]).select("doc_id", "row_key", "source_no", "size", (F.col("base") + F.col("inside")).alias("place"))
 
 
-def row_key(df: DataFrame) -> Column:
-    """128 bits that tell rows of different doc_id, source or text apart."""
-    shown = [F.coalesce(F.concat(F.lit("="), df[c].cast("string")), F.lit("-")) for c in ("doc_id", "source", "text")]
-    return F.md5(F.concat(shown[0], F.lit("\x00"), shown[1], F.lit("\x00"), shown[2]))
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int = 17) -> Mix:
     """Plan a mix of all words of ``docs`` whose sources near their targets.
 
-    The sources' totals are collected to the driver: a row for each source. A block is the next so many words of a source's stream; its
+    The sources' totals are collected to the driver: a row for each source, MOST_SOURCES at most (more are an error). A block is the next so many words of a source's stream; its
     length follows the smallest target, and is less in sources too small for it. Every word lies in one block, and a source's slots visit each
     of its blocks once before any again, so no word is taken more than ``most`` times.
 
@@ -176,7 +172,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int =
     """
     spark = docs.sparkSession
     sized = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), row_key(docs).alias("row_key")), "mix-sizes")
-    totals = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    grouped = sized.groupBy("source").agg(F.sum("size").alias("size"))
+    if (n := grouped.count()) > MOST_SOURCES:
+        raise ValueError(f"{n} sources; a mix plans at most {MOST_SOURCES} on the driver")
+    totals = {r["source"]: r["size"] for r in grouped.collect()}
     sources = plan_sources(totals, weights, most)
     draws = list(draw_shards([s.quota for s in sources], seed))
     drawn = spark.createDataFrame(draws, "shard long, source_no int, first long, slots long")
@@ -202,21 +201,31 @@ def _cut_text(text: str, place: int, block_words: int, times: dict[int, int], tu
     return text if len(kept) == len(words) else b" ".join(kept).decode("utf-8", "surrogatepass")
 
 
-def _texts(at: int):
+def _texts(names: list[str]):
+    at = names.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plans, turns = batch.column("_plans").to_pylist(), batch.column("_turn").to_pylist()
-            texts = batch.column(at)
+            whole, texts = batch.column("row"), batch.column("row").field(at)
             rows, new = [], []
-            for i, (plan, k) in enumerate(zip(plans, turns)):
-                place, block_words, blocks = plan[k - 1]["place"], plan[k - 1]["block_words"], {b["block"]: b["times"] for b in plan[k - 1]["blocks"]}
-                text = texts[i].as_py()
-                for turn in range(1, max(blocks.values()) + 1):
+
+            def flush():
+                columns = whole.take(pa.array(rows, pa.int64())).flatten()
+                columns[at] = pa.array(new, texts.type)
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            size = 0
+            for i, (place, block_words, blocks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "block_words", "blocks")))):
+                times, text = {b["block"]: b["times"] for b in blocks}, texts[i].as_py()
+                for turn in range(1, max(times.values()) + 1):
                     rows.append(i)
-                    new.append(_cut_text(text, place, block_words, blocks, turn))
-            for lo in range(0, len(rows), 256):
-                part = batch.select(range(batch.num_columns - 2)).take(pa.array(rows[lo : lo + 256], pa.int64()))
-                yield part.set_column(at, batch.schema.field(at).name, pa.array(new[lo : lo + 256], batch.schema.field(at).type))
+                    new.append(_cut_text(text, place, block_words, times, turn))
+                    size += len(new[-1])
+                    if len(rows) >= 256 or size > 1 << 22:
+                        yield flush()
+                        rows, new, size = [], [], 0
+            if rows:
+                yield flush()
 
     return run
 
@@ -226,14 +235,14 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, se
 
     A row's n-th copy holds its words in blocks taken n times or more: the whole text unchanged, or
     the taken words joined by one space. n_chars, if there is such a column, counts the new text's characters.
+
+    A row of which no word is taken does not come: so none of a null, empty or blank text. Rows that repeat a doc_id are
+    placed and come each for itself, also where they are equal in all columns. A null source is a source of its own. An empty table gives no rows. Extra columns may have any name.
     """
     m = mix(docs, weights, most, seed)
     plan = m.pieces().groupBy("source_no", "place", "block_words").agg(F.collect_list(F.struct("block", "times")).alias("blocks"))
-    of = m.placed.filter("size > 0").select("row_key", "source_no", "place").join(plan, ["source_no", "place"])
-    plans = of.groupBy(F.col("row_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("place", "source_no", "block_words", "blocks"))).alias("_plans"))
-    plans = plans.withColumn("_plans", F.transform("_plans", lambda p: F.struct(p["place"].alias("place"), p["block_words"].alias("block_words"), p["blocks"].alias("blocks"))))
-    keyed = docs.withColumn("_row", row_key(docs))
-    keyed = keyed.withColumn("_turn", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    found = keyed.join(plans, keyed["_row"] == plans["_key"]).filter(F.col("_turn") <= F.size("_plans")).select(*docs.columns, "_plans", "_turn")
-    out = found.mapInArrow(_texts(docs.columns.index("text")), docs.schema)
+    placed = m.placed.filter("size > 0").select("row_key", "source_no", "place").join(plan, ["source_no", "place"])
+    whole = docs.select(row_key(docs).alias("row_key"), whole_row(docs)[0].alias("row")).groupBy("row_key").agg(F.first("row").alias("row"))
+    found = whole.join(placed, "row_key").select("row", "place", "block_words", "blocks")
+    out = found.mapInArrow(_texts(docs.columns), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

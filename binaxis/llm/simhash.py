@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, join_groups, n_tasks
+from .bloom import Bloom
+from .common import cut, documents, join_groups, n_tasks, row_key, whole_row
 from .components import components
 from .tokens import chunks
 
@@ -229,16 +230,28 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, budget: int = BUDGET) -> Data
 
 
 def drop_near(docs: DataFrame, k: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id, and of rows with this doc_id that of the least hash.
+    """One row of each component, with all its columns: that of the smallest doc_id, and of rows with this doc_id that of the least key.
 
-    Rows are told apart by a hash of doc_id and text, so rows of one doc_id in different components each stay.
-    A null doc_id comes after all others; a component of only null doc_ids keeps one row too.
+    A row's key is a hash of all its columns, so rows of one doc_id in different components each stay, and of a row that repeats, one.
+    Keys alone shuffle to find what goes. Rows that are surely not among those that go, by a Bloom filter of their keys, pass straight through;
+    the others shuffle to meet the table of such keys.
+
+    A null doc_id comes after all others; a component of only null doc_ids keeps one row too. A null, empty or wordless text has
+    fingerprint zero, so all such rows are one component and one stays. An empty table gives no rows. Extra columns may have any name.
     """
-    shown = [F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-")) for c in ("doc_id", "text")]
-    keyed = docs.withColumn("_row", F.unhex(F.md5(F.concat(shown[0], F.lit("\x00"), shown[1]))))
-    marked = cut(fingerprints(keyed, k, "_row"), "prints")
-    nodes = marked.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
-    roots = components(print_links(nodes.select("print"), budget))
-    whole = nodes.join(roots, nodes["print"] == roots["u"], "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("first").alias("first"))
-    keep = cut(whole.select(F.col("first")["_row"].alias("_keep")), "near-kept")
-    return keyed.join(keep, keyed["_row"] == keep["_keep"], "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    keyed = docs.select(docs["doc_id"], docs["text"], row_key(docs).alias("key"))
+    marked = cut(fingerprints(keyed, k, "key"), "prints")
+    nodes = cut(marked.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("n")), "print-nodes")
+    roots = components(print_links(nodes.select("print"), budget)).withColumnRenamed("u", "print")
+    linked = nodes.join(roots, "print", "left").select("print", "first", "n", "root")
+    first = linked.filter("root is not null").groupBy("root").agg(F.min("first").alias("of_all"))
+    crowded = linked.filter("n > 1 or root is not null").join(first, "root", "left").select("print", "n", F.coalesce("of_all", "first")["key"].alias("stays"))
+    rows = marked.count()
+    met = join_groups(marked.select("print", "key"), cut(crowded, "near-groups"), "print", "n", rows)
+    touched = cut(met.groupBy("key").agg(F.max(F.col("key") == F.col("stays")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not kept"), "near-touched")
+    goes = Bloom(touched, "key", 1, touched.count())
+    whole = docs.select(row_key(docs).alias("key"), whole_row(docs)[0].alias("row"))
+    flagged = whole.withColumn("maybe", goes.may_hold(F.col("key")))
+    alone = flagged.filter("not maybe").select("row.*")
+    together = flagged.filter("maybe").groupBy("key").agg(F.first("row").alias("row"))
+    return alone.union(together.join(touched.filter("not kept"), "key", "left_anti").select("row.*"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, whole_row
 
 #: Labelled documents that are learned from, at most, and words of the lexicon, at most.
 FIT_DOCS, LEXICON = 12_000, 300
@@ -193,18 +193,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most:
     return model
 
 
-def _score(model, at: int | None):
-    """at: the text's column, where rows of a score of at least one half are to go; else all are scored."""
-
+def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                score = model.value.score(part.column(1 if at is None else at).to_pylist())
-                if at is not None:
-                    yield part.filter(pa.array(score < 0.5))
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+                score = model.value.score(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    return run
+
+
+def _clean(model, names: list[str]):
+    """Whole rows of a score under one half."""
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.column("row").slice(lo, 128)
+                kept = part.filter(pa.array(model.value.score(part.field(at).to_pylist()) < 0.5))
+                yield pa.RecordBatch.from_arrays(kept.flatten(), names)
 
     return run
 
@@ -213,13 +222,16 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted) of every row's whole text.
 
     score is the calibrated probability of label 1, predicted 1 from one half on. A null or empty text has features of
-    zero and their score. Rows that repeat a doc_id are scored each for itself.
+    zero and their score; a text of any length is read whole. Rows that repeat a doc_id, or have none, are scored each for itself. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return documents(docs).mapInArrow(_score(shared, None), "doc_id long, score double, predicted int")
+    return documents(docs).mapInArrow(_score(shared), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` predicted 0, with all their columns."""
+    """The rows of ``docs`` predicted 0, with all their columns, whose names may be any.
+
+    A null or empty text has features of zero and their score. Rows that repeat are judged each for itself. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_score(shared, docs.columns.index("text")), docs.schema)
+    return docs.select(whole_row(docs)[0].alias("row")).mapInArrow(_clean(shared, docs.columns), docs.schema)

@@ -1,25 +1,18 @@
 """Exact, substring, suffix-array and SimHash dedup against brute force."""
 
-import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from brute import by_hand, bytes_removed, linked, sha, words_removed
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from binaxis.llm import common, exact_dedup, simhash, substring_dedup, suffix_dedup, winnow
+from binaxis.llm import bloom, common, exact_dedup, simhash, substring_dedup, suffix_dedup, winnow
 from binaxis.llm.components import components
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def sha(b) -> str:
-    return hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
-
-
 def test_exact(docs, rows):
     groups = defaultdict(list)
     for doc_id, text, *_ in rows:
@@ -28,12 +21,12 @@ def test_exact(docs, rows):
     assert sorted(map(tuple, exact_dedup.exact_groups(docs).collect())) == expected
 
 
-@pytest.mark.parametrize("bits", [64, 1 << 16])
+@pytest.mark.parametrize("bits", [64, 512, 1 << 16])
 def test_exact_with_any_filter(docs, rows, bits, monkeypatch):
-    """A filter far too small lets all rows shuffle and changes nothing."""
+    """A filter far too small, of one part or several, lets all rows shuffle and changes nothing."""
     wanted = sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
-    monkeypatch.setattr(exact_dedup, "LEAST_BITS", bits)
-    monkeypatch.setattr(exact_dedup, "MOST_BITS", bits)
+    monkeypatch.setattr(bloom, "LEAST_BITS", bits)
+    monkeypatch.setattr(bloom, "MOST_BITS", bits)
     assert sorted(map(tuple, exact_dedup.exact_groups(docs).collect())) == wanted
 
 
@@ -44,18 +37,6 @@ def test_exact_odd_rows(odd, nothing):
     assert sorted(r["doc_id"] for r in exact_dedup.drop_exact(odd).collect()) == [5, 6]
 
 
-def words_removed(rows, span):
-    seen, out = set(), {}
-    for doc_id, text, *_ in sorted(rows, key=lambda r: r[0]):
-        words, gone = re.findall(WORD, text or ""), set()
-        for i in range(len(words) - span + 1):
-            w = tuple(words[i : i + span])
-            gone |= set(range(i, i + span)) if w in seen else set()
-            seen.add(w)
-        out[doc_id] = (len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone))
-    return out
-
-
 def test_substrings(docs, rows):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.drop_repeated_words(docs).collect()}
     assert got == words_removed(rows, 20)
@@ -69,25 +50,24 @@ def test_substrings_under_hot_seeds(docs, rows, hot, monkeypatch):
     assert got == words_removed(rows, 20)
 
 
+@pytest.mark.parametrize("windows", [30, 100])
+def test_texts_of_many_blocks(docs, rows, windows, monkeypatch):
+    """Texts longer than a block are taken in blocks that overlap; runs are cut short."""
+    monkeypatch.setattr(winnow, "BLOCK_WINDOWS", windows)
+    monkeypatch.setattr(winnow, "RUN_WINDOWS", 8)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.drop_repeated_words(docs).collect()}
+    assert got == words_removed(rows, 20)
+    monkeypatch.setattr(winnow, "BLOCK_WINDOWS", 10 * windows)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffix_dedup.drop_repeated_bytes(docs).collect()}
+    assert got == bytes_removed(rows, 200)
+
+
 def test_substrings_odd_rows(odd, nothing):
     got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.drop_repeated_words(odd).collect()]
     assert sorted(got, key=str) == sorted([(None, 40, 0), (5, 40, 40), (5, 40, 40), (5, 40, 40), (6, 41, 40)], key=str)
     assert substring_dedup.drop_repeated_words(nothing).count() == 0
 
 
-def bytes_removed(rows, span):
-    raw = {r[0]: (r[1] or "").encode() for r in rows}
-    seen = Counter(b[i : i + span] for b in raw.values() for i in range(len(b) - span + 1))
-    out = {}
-    for d, b in raw.items():
-        gone = bytearray(len(b))
-        for i in range(len(b) - span + 1):
-            if seen[b[i : i + span]] > 1:
-                gone[i : i + span] = b"\x01" * span
-        out[d] = (len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone) if not g)))
-    return out
-
-
 def test_suffixes(docs, rows):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffix_dedup.drop_repeated_bytes(docs).collect()}
     assert got == bytes_removed(rows, 200)
@@ -142,30 +122,6 @@ def test_equal_windows_share_an_anchor(texts):
     assert all(len(a) == 1 for a in anchors.values())
 
 
-def by_hand(text: str | None) -> int:
-    import xxhash
-
-    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def linked(prints: dict, budget: int) -> dict:
-    root = {d: d for d in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= budget:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d: find(d) for d in prints}
-
-
 def test_simhash(docs, rows):
     prints = {r[0]: by_hand(r[1]) for r in rows}
     roots = linked(prints, 4)
