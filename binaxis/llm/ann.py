@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows that codebooks are fitted on, at most; centroids of a half; rounds of fitting.
-FIT_ROWS, MOST_CENTROIDS, FIT_ROUNDS = 20_000, 32, 12
-#: Share of the rows that a query's cells hold together, and their least number.
-PROBE_SHARE, PROBE_ROWS = 0.7, 2000
-#: Rows of a part of the index, and queries of a block.
-PART_ROWS, BLOCK_QUERIES = 16_384, 2048
+#: Rows that codebooks are fitted on, at most; centroids of a half, at most; rounds of fitting.
+FIT_ROWS, MOST_CENTROIDS, FIT_ROUNDS = 20_000, 256, 12
+#: Queries whose true neighbours tell how many rows to visit, at most, and the share of these neighbours that must be among them.
+TUNE_QUERIES, RECALL = 128, 0.95
+#: Rows of a part of the index, and queries that a task ranks at a time.
+PART_ROWS, RANKED_QUERIES = 8192, 128
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -87,69 +87,195 @@ def _encode(books):
     return run
 
 
-def _probe(books, counts, enough: int):
+# --- how many rows to visit ---
+
+
+def _best(own: np.ndarray, asked: np.ndarray, ids: np.ndarray, x: np.ndarray, visited: np.ndarray | None, top: int):
+    """(query number, place in x, score) of the ``top`` nearest rows of each query, nearest first, ties to the smaller id."""
+    scores = own @ x.T if visited is None else visited
+    scores = np.where(asked[:, None] != ids, scores, -np.inf)
+    if len(x) > top:  # rounding differs between products, so a little below the last is looked at too
+        least = np.partition(scores, -top, axis=1)[:, -top]
+        reach = np.sqrt((own * own).sum(1) * (x * x).sum(1).max())
+        scores[scores < (least - 1e-12 * reach)[:, None]] = -np.inf
+    i, j = np.nonzero(scores > -np.inf)
+    exact = (own[i] * x[j]).sum(axis=1)  # the same for equal vectors, wherever they lie
+    order = np.lexsort((ids[j], -exact, i))
+    rank = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+    order = order[rank < top]
+    return i[order], j[order], exact[order]
+
+
+def _true_nearest(asked: np.ndarray, own: np.ndarray, top: int):
+    """The nearest rows of each partition to a few queries, by comparing all of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(lo, PART_ROWS)
+                ids, x, cell = part.column("vec_id").to_numpy(), _matrix(part.column("vec")), part.column("cell").to_numpy()
+                if held:
+                    ids, x, cell = (np.concatenate(c) for c in zip(held, (ids, x, cell)))
+                _, j, _ = _best(own, asked, ids, x, None, top)
+                keep = np.unique(j)
+                held = ids[keep], x[keep], cell[keep]
+        if held:
+            i, j, exact = _best(own, asked, *held[:2], None, top)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(held[0][j]), pa.array(held[2][j]), pa.array(exact)], ["query_id", "vec_id", "cell", "score"])
+
+    return run
+
+
+def rows_to_visit(index: DataFrame, asked: DataFrame, books, counts: np.ndarray, top: int, recall: float, seed: int) -> int:
+    """Rows that a query's cells must hold so that ``recall`` of the true neighbours of a few queries are among them.
+
+    TUNE_QUERIES queries at most, taken by a hash of vec_id, are compared with every row.
+    """
+    some = asked.orderBy(F.xxhash64("vec_id", F.lit(seed + 1)), "vec_id").limit(TUNE_QUERIES).toArrow()
+    if not some.num_rows:
+        return 0
+    own, ids = _matrix(some.column("vec")), some.column("vec_id").to_numpy()
+    found = index.mapInArrow(_true_nearest(ids, own, top), "query_id long, vec_id long, cell int, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true: dict[int, list[int]] = {}
+    for r in found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).collect():  # TUNE_QUERIES x top rows at most
+        true.setdefault(r["query_id"], []).append(r["cell"])
+    needed: list[int] = []
+    a, b = books
+    for i, q in zip(ids.tolist(), own):
+        order = cells_in_order(-q[: a.shape[1]] @ a.T, -q[a.shape[1] :] @ b.T, counts, int(counts.sum()))
+        held = dict(zip(order, np.cumsum(counts[order]).tolist()))
+        needed += [held[c] for c in true.get(i, ())]
+    return int(np.quantile(needed, recall, method="higher")) if needed else 0
+
+
+# --- lists ---
+
+
+def layout(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first part of each cell, parts of each cell, parts in all): neighbouring cells share a part, a cell of very many rows has several."""
+    first, pieces, part, filled = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32), 0, 0
+    for cell, n in enumerate(counts.tolist()):
+        if filled and filled + n > PART_ROWS:
+            part, filled = part + 1, 0
+        first[cell] = part
+        if n > PART_ROWS:
+            pieces[cell] = -(-n // PART_ROWS)
+            part, filled = part + int(pieces[cell]), 0
+        else:
+            filled += n
+    return first, pieces, part + (filled > 0)
+
+
+LISTS = "part int, kind int, id long, vec array<double>, cell int, cells binary"
+LIST_NAMES = [c.split()[0] for c in LISTS.split(", ")]
+
+
+def _rows_of_lists(first, pieces):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, ids = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy()
+            spread = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            part = first[cell] + (spread % pieces[cell].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.zeros(len(ids), np.int32)), batch.column("vec_id"), batch.column("vec"), batch.column("cell"), pa.nulls(len(ids), pa.binary())], LIST_NAMES)
+
+    return run
+
+
+def _visits(books, counts, enough: int, first, pieces):
+    """Each query once for each part that holds cells it visits, with these cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = books
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, cells = _matrix(batch.column("vec")), []
-            for da, db in zip(-rows[:, : a.shape[1]] @ a.T, -rows[:, a.shape[1] :] @ b.T):
-                chosen = np.zeros(len(a) * len(b), bool)
-                chosen[cells_in_order(da, db, counts, enough)] = True
-                cells.append(np.packbits(chosen).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(cells, pa.binary())], ["query_id", "query", "cells"])
+            for lo in range(0, batch.num_rows, 64):
+                own = batch.slice(lo, 64)
+                rows = _matrix(own.column("vec"))
+                of, parts, cells = [], [], []
+                for i, (da, db) in enumerate(zip(-rows[:, : a.shape[1]] @ a.T, -rows[:, a.shape[1] :] @ b.T)):
+                    visited = np.sort(np.array(cells_in_order(da, db, counts, enough), np.int32))
+                    visited = visited[counts[visited] > 0]
+                    edges = np.flatnonzero(np.append(True, first[visited][1:] != first[visited][:-1])) if len(visited) else []
+                    for x, y in zip(edges, np.append(edges[1:], len(visited)).astype(int)):
+                        for k in range(int(pieces[visited[x]])):
+                            of.append(i)
+                            parts.append(int(first[visited[x]]) + k)
+                            cells.append(visited[x:y].tobytes())
+                take = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.ones(len(of), np.int32)), own.column("vec_id").take(take), own.column("vec").take(take), pa.nulls(len(of), pa.int32()), pa.array(cells, pa.binary())], LIST_NAMES)
 
     return run
 
 
-def _rerank(top: int, chunk: int = 128):
-    """The nearest of one part of the index to each query of one block, among cells that the query visits."""
-
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
-        if queries.num_rows and rows.num_rows:
-            q, x, ids, cell = _matrix(queries.column("query")), _matrix(rows.column("vec")), rows.column("vec_id").to_numpy(), rows.column("cell").to_numpy()
-            qid, cells = queries.column("query_id").to_numpy(), queries.column("cells").to_pylist()
-            for lo in range(0, len(q), chunk):
-                own = q[lo : lo + chunk]
-                visited = np.unpackbits(np.frombuffer(b"".join(cells[lo : lo + chunk]), np.uint8).reshape(len(own), -1), axis=1)[:, cell].astype(bool)
-                scores = np.where(visited & (qid[lo : lo + chunk, None] != ids), own @ x.T, -np.inf)
-                floor = np.partition(scores, -top, axis=1)[:, -top] - 1e-9 if len(x) > top else np.full(len(own), -np.inf)
-                i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-                exact = (own[i] * x[j]).sum(axis=1)  # the same for equal vectors, wherever they lie
-                order = np.lexsort((ids[j], -exact, i))
-                rank = np.arange(len(i)) - np.searchsorted(i[order], i[order])
-                order = order[rank < top]
-                out.append((qid[lo : lo + chunk][i[order]], ids[j[order]], exact[order]))
-        a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+def _rank(top: int):
+    """Of each part its rows come first, by cell, then the queries that visit it; a query meets the rows of its cells alone."""
+
+    def nearest_of(held: list, queries: pa.RecordBatch) -> pa.RecordBatch:
+        if len(held[0]) > 1:
+            held[:] = [[np.concatenate(c)] for c in held]
+        (ids,), (x,), (cell,) = held
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        ends, here = np.append(starts[1:], len(cell)), cell[starts]
+        own, asked = _matrix(queries.column("vec")), queries.column("id").to_numpy()
+        lists = [np.frombuffer(c, np.int32) for c in queries.column("cells").to_pylist()]
+        who, what = np.repeat(np.arange(len(own)), [len(c) for c in lists]), np.concatenate(lists)
+        at = np.searchsorted(here, what)
+        there = (at < len(here)) & (here[np.minimum(at, len(here) - 1)] == what)  # a piece of a cell may be empty
+        who, at = who[there], at[there]
+        order = np.argsort(at, kind="stable")
+        who, at = who[order], at[order]
+        scores = np.full((len(own), len(x)), -np.inf)
+        edges = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else []
+        for lo, hi in zip(edges, np.append(edges[1:], len(at)).astype(int)):
+            s, e = starts[at[lo]], ends[at[lo]]
+            scores[who[lo:hi], s:e] = own[who[lo:hi]] @ x[s:e].T
+        i, j, exact = _best(own, asked, ids, x, scores, top)
+        return pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(ids[j]), pa.array(exact)], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, [[], [], []]
+        for batch in batches:
+            of, kind = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]))) if len(of) else []
+            for lo, hi in zip(edges, np.append(edges[1:], len(of)).astype(int)):
+                if of[lo] != part:
+                    part, held = of[lo], [[], [], []]
+                own = batch.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    for c, values in zip(held, (own.column("id").to_numpy(), _matrix(own.column("vec")), own.column("cell").to_numpy())):
+                        c.append(values)
+                elif held[0]:
+                    for at in range(0, own.num_rows, RANKED_QUERIES):
+                        yield nearest_of(held, own.slice(at, RANKED_QUERIES))
 
     return run
 
 
-def neighbours(vectors: DataFrame, is_query: Column, top: int = 20, share: float = PROBE_SHARE, seed: int = 5) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, top: int = 20, recall: float = RECALL, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found for each query, nearest first.
 
     ``is_query`` is a condition on vec_id. Codebooks for the two halves of the vectors are fitted on FIT_ROWS rows at most, taken by a hash
-    of vec_id; every row is indexed under its pair of centroids. A query visits pairs by summed distance, with a heap,
-    until their cells hold ``share`` of the rows, and the rows in them are ranked by their exact inner
-    products. Vectors spread evenly over a sphere need a large share for a recall of 0.9; clustered ones far less.
-
-    Parts of the index meet blocks of queries, and of each pair the nearest ``top`` of a query go on. Of equal
-    vectors only the top + 1 of least vec_id are indexed, since ties go to the smaller vec_id. Null, zero
-    and non-finite vectors, null vec_ids, and vectors not of the commonest length take no part; of a
-    repeated vec_id the least vector does.
+    of vec_id; every row is listed under its pair of centroids. A query visits pairs by summed distance, with a heap,
+    until their lists hold enough rows, and the rows in them are ranked by their exact inner
+    products. How many are enough follows from the true neighbours of a few queries (rows_to_visit), so that ``recall`` of them are found.
+    Vectors spread evenly over a sphere need about half of the rows; clustered ones far less.
+
+    Lists are dealt to parts of about PART_ROWS rows; a list of very many rows has several. A query travels to the parts that hold lists it
+    visits, and there meets the rows of these lists alone; of each part its nearest ``top`` go on. Of equal
+    vectors only the top + 1 of least vec_id are listed, since ties go to the smaller vec_id.
+
+    Null, zero and non-finite vectors, null vec_ids, and vectors not of the commonest length take no part; of a
+    repeated vec_id the least vector does. An empty table, or one without queries, gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     rows = cut(usable(vectors), "vectors")
     n = rows.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = _matrix(rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(FIT_ROWS).select("vec").toArrow().column("vec"))
     half, rng = max(1, sample.shape[1] // 2), np.random.default_rng(seed)
-    k = max(1, min(MOST_CENTROIDS, len(sample), round(math.sqrt(n) / 4)))
+    k = max(1, min(MOST_CENTROIDS, len(sample), round(math.sqrt(n) / 8)))
     books = fit_half(sample[:, :half], k, rng), fit_half(sample[:, half:], k, rng)
     coded = cut(rows.mapInArrow(_encode(books), "vec_id long, vec array<double>, cell int"), "coded")
     alike = Window.partitionBy("vec").orderBy("vec_id")
@@ -157,12 +283,11 @@ def neighbours(vectors: DataFrame, is_query: Column, top: int = 20, share: float
     counts = np.zeros(k * k, np.int64)
     for r in index.groupBy("cell").count().collect():  # MOST_CENTROIDS squared rows at most
         counts[r["cell"]] = r["count"]
-    enough = max(int(share * counts.sum()), PROBE_ROWS)
-    asked = rows.filter(is_query).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_probe(books, counts, enough), "query_id long, query array<double>, cells binary")
-    n_queries = rows.filter(is_query).count()
-    blocks, parts = max(1, -(-n_queries // BLOCK_QUERIES)), max(1, -(-int(counts.sum()) // PART_ROWS))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    near = asked.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(_rerank(top), "query_id long, vec_id long, score double")
+    asked = rows.filter(is_query)
+    enough = max(top + 1, rows_to_visit(index, asked, books, counts, top, recall, seed))  # the query's own row is one of them
+    first, pieces, parts = layout(counts)
+    asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_visits(books, counts, enough, first, pieces), LISTS)
+    met = index.mapInArrow(_rows_of_lists(first, pieces), LISTS).union(asked)
+    near = met.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind", "cell").mapInArrow(_rank(top), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

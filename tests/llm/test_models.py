@@ -204,29 +204,60 @@ def exact(rows, top):
     return out
 
 
-def test_neighbours_of_all_cells(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 100)
-    monkeypatch.setattr(ann, "BLOCK_QUERIES", 10)
+@pytest.mark.parametrize("part_rows", [7, 100, 10_000])
+def test_neighbours_of_all_cells(spark, monkeypatch, part_rows):
+    """Lists of several parts, parts of several lists, one part."""
+    monkeypatch.setattr(ann, "PART_ROWS", part_rows)
+    monkeypatch.setattr(ann, "RANKED_QUERIES", 10)
     rows = vectors(400)
     wanted = exact(rows, 20)
     got = defaultdict(list)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    for r in ann.neighbours(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for r in ann.neighbours(table, F.col("vec_id") % 20 == 0, recall=1.0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
         assert r["rank"] == len(got[r["query_id"]])
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in wanted.items()}
     assert all(a == pytest.approx(b, rel=1e-12) for q in wanted for (_, a), (_, b) in zip(got[q], wanted[q]))
 
 
-def test_recall_of_part_of_the_cells(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PROBE_ROWS", 100)
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_of_part_of_the_cells(spark, monkeypatch, clustered):
+    monkeypatch.setattr(ann, "PART_ROWS", 500)
     rows = vectors(3000, seed=1)
-    wanted, found = exact(rows, 20), defaultdict(set)
+    if clustered:
+        rng = np.random.default_rng(2)
+        at = rng.normal(size=(30, 12)) * 5
+        rows = [(i, [float(x) for x in np.float32(at[i % 30] + rng.normal(size=12) * 0.2)], 0) for i in range(3000)]
+    wanted, found, visited, whole = exact(rows, 20), defaultdict(set), [], ann.rows_to_visit
+    monkeypatch.setattr(ann, "rows_to_visit", lambda index, asked, books, counts, *a: visited.append((n := whole(index, asked, books, counts, *a)) / counts.sum()) or n)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     for r in ann.neighbours(table, F.col("vec_id") % 20 == 0).collect():
         found[r["query_id"]].add(r["vec_id"])
     recall = sum(len({i for i, _ in v} & found[q]) for q, v in wanted.items()) / sum(map(len, wanted.values()))
     assert recall >= 0.9
+    assert visited[0] < (0.2 if clustered else 0.95)
+
+
+def test_only_visited_cells_are_ranked(spark, monkeypatch):
+    """What a query finds are the nearest rows of the cells that it visits, no more and no less."""
+    held = {}
+
+    def few(index, asked, books, counts, *_):
+        held.update(books=books, counts=counts, rows=[(r["vec_id"], r["cell"], np.array(r["vec"])) for r in index.collect()])
+        return 60
+
+    monkeypatch.setattr(ann, "rows_to_visit", few)
+    monkeypatch.setattr(ann, "PART_ROWS", 300)
+    rows, found = vectors(2000, seed=3), defaultdict(list)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for r in ann.neighbours(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    a, b = held["books"]
+    for q, ids in found.items():
+        own = np.array(next(v for i, v, _ in rows if i == q), float)
+        visited = set(ann.cells_in_order(-own[:6] @ a.T, -own[6:] @ b.T, held["counts"], 60))
+        near = sorted((-(v * own).sum(), i) for i, cell, v in held["rows"] if cell in visited and i != q)
+        assert ids == [i for _, i in near[:20]]
 
 
 def test_few_or_no_vectors(spark):
