@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Buckets of n-grams, and documents of a language that classifiers are fitted on, at most.
-BUCKETS, FIT_DOCS = 4096, 600
+#: Buckets of n-grams; documents of a language, and of all, that classifiers are fitted on, at most (but one of each language).
+BUCKETS, FIT_DOCS, FIT_DOCS_IN_ALL = 4096, 600, 6000
 #: Languages up to which the code has every split of them, and bits per doubling of languages beyond.
 ALL_SPLITS, BITS_PER_DOUBLING = 6, 12
 ROUNDS, RATE, SHRINK = 250, 0.5, 1e-5
@@ -114,16 +114,36 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(rows, pa.binary())], ["lang", "features"])
 
 
-def train(docs: DataFrame, learn: Column | None = None, most: int = FIT_DOCS) -> Model:
-    """Fit on at most ``most`` documents of each language, taken by a hash of doc_id among those that ``learn`` admits."""
-    rows = documents(docs.withColumn("_learn", F.lit(True) if learn is None else learn), "lang", "_learn")
-    rows = rows.filter("_learn and lang is not null and text is not null and doc_id is not null").drop("_learn")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("_n", place).filter(F.col("_n") <= most).select("doc_id", "lang")
+def _chosen(rows: DataFrame, most: int, in_all: int) -> DataFrame:
+    """(doc_id, lang): at most ``most`` documents of each language, and about ``in_all`` of all, those of the least hashes of doc_id.
+
+    Hashes are spread evenly, so a bound on the hash, a little above what is needed, leaves few rows of each language however many there are;
+    only these are numbered. It fails to leave enough once in very many times, and then a language has fewer rows.
+    """
+    spread = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))
+    own = rows.select("doc_id", "lang", spread.alias("_at")).distinct()
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("_size"))
+    languages = sizes.agg(F.count(F.lit(1))).scalar()
+    share = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.lit(in_all) / languages)))
+    bound = (F.col("_share") + 8 * F.sqrt("_share") + 8) / F.col("_size")
+    few = own.join(sizes.select("lang", "_size", share.alias("_share")), "lang").filter(F.col("_at") < bound)
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_at", "doc_id"))).filter(F.col("_n") <= F.col("_share")).select("doc_id", "lang")
+
+
+def train(docs: DataFrame, learn: Column | None = None, most: int = FIT_DOCS, in_all: int = FIT_DOCS_IN_ALL) -> Model:
+    """Fit on at most ``most`` documents of each language and about ``in_all`` of all, taken by a hash of doc_id among those that ``learn`` admits.
+
+    Rows without doc_id, language or text are not learned from; rows that repeat doc_id and language all are, if their document is
+    taken. Without rows the model knows no language.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), (F.lit(True) if learn is None else learn).alias("learn"))
+    rows = rows.filter("learn and lang is not null and text is not null and doc_id is not null").drop("learn")
+    chosen = _chosen(rows, most, in_all)  # about in_all rows, so they may travel
     taken = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(_features, "lang string, features binary").toArrow()
     if not taken.num_rows:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
-    return fit(np.frombuffer(b"".join(taken.column("features").to_pylist()), np.float32).reshape(-1, BUCKETS), taken.column("lang").to_pylist())
+    pairs = sorted(zip(taken.column("lang").to_pylist(), taken.column("features").to_pylist()))  # so that reruns agree
+    return fit(np.frombuffer(b"".join(f for _, f in pairs), np.float32).reshape(-1, BUCKETS), [lang for lang, _ in pairs])
 
 
 def _predict(model):
@@ -140,8 +160,9 @@ def _predict(model):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of every row's whole text.
 
-    A null text, or one without a letter, is UNKNOWN with score 0. score is the decoded
-    probability; ambiguous tells that a second language comes close. Rows that repeat a doc_id are judged each for itself.
+    A null or empty text, or one without a letter, is UNKNOWN with score 0; a text of any length is read whole. score is the decoded
+    probability; ambiguous tells that a second language comes close. Of languages of one probability the first in code point order is told. Rows that
+    repeat a doc_id, or have none, are judged each for itself. An empty table gives no rows. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return documents(docs).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, ambiguous boolean")
