@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .bloom import Bloom
+from .common import cut, n_tasks
 
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -136,32 +137,45 @@ def slots(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchors & mask).astype(np.int64), (mix(anchors) & mask).astype(np.int64)
 
 
-def _chunk_bits(bits: int):
+def _places(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
-                order = np.argsort(at)
-                at = at[order]
-                chunk = at // CHUNK_BITS
-                edges = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
-                for lo, hi in zip(edges, np.append(edges[1:], len(at))):
-                    own = held.setdefault(int(chunk[lo]), np.zeros(CHUNK_BITS >> 3, np.uint8))
-                    np.bitwise_or.at(own, (at[lo:hi] % CHUNK_BITS) >> 3, np.uint8(1) << (at[lo:hi] & 7).astype(np.uint8))
-        for c, own in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["chunk", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array((at // CHUNK_BITS).astype(np.int32)), pa.array((at % CHUNK_BITS).astype(np.int32))], ["chunk", "at"])
 
     return run
 
 
+def _chunk_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of each chunk; rows come chunk by chunk."""
+    number, own = None, np.zeros(CHUNK_BITS, bool)
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
+
+    for batch in batches:
+        chunk, at = batch.column("chunk").to_numpy(), batch.column("at").to_numpy()
+        edges = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else []
+        for lo, hi in zip(edges, np.append(edges[1:], len(chunk)).astype(int)):
+            if chunk[lo] != number:
+                if number is not None:
+                    yield out()
+                number = int(chunk[lo])
+                own[:] = False
+            own[at[lo:hi]] = True
+    if number is not None:
+        yield out()
+
+
 def _filter(anchors: DataFrame, n: int) -> np.ndarray:
-    """Bloom filter of n anchors, as bytes; its size is a power of two and MOST_BITS bits at most."""
+    """Bloom filter of n anchors, as bytes; its size is a power of two and MOST_BITS bits at most. Chunks of it are filled apart."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, FILTER_BITS * n - 1).bit_length()))
     filled = np.zeros(bits >> 3, np.uint8)
     if n:
-        for r in anchors.coalesce(8).mapInArrow(_chunk_bits(bits), "chunk int, bits binary").toLocalIterator():  # at most 8 parts of each chunk
+        dealt = anchors.mapInArrow(_places(bits), "chunk int, at int").repartition(n_tasks(anchors.sparkSession, n, 1 << 21), "chunk").sortWithinPartitions("chunk")
+        for r in dealt.mapInArrow(_chunk_bits, "chunk int, bits binary").toLocalIterator():  # each chunk once: MOST_BITS in all
             lo = r["chunk"] * (CHUNK_BITS >> 3)
-            filled[lo : lo + (CHUNK_BITS >> 3)] |= np.frombuffer(r["bits"], np.uint8)
+            filled[lo : lo + (CHUNK_BITS >> 3)] = np.frombuffer(r["bits"], np.uint8)
     return filled
 
 
@@ -211,11 +225,17 @@ def spans_of(flags: np.ndarray, span: int) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, covered: DataFrame) -> DataFrame:
-    """(id, key, doc_id, text, spans): each row with what is covered in it; ``covered`` has (id, key, first, past)."""
-    spans = covered.groupBy("id", "key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key"), "doc_id", "text")
-    return keyed.join(spans, ["id", "key"], "left")
+    """(doc_id, text, spans): each row with what is covered in it; ``covered`` has (id, key, first, past).
+
+    Rows that a Bloom filter tells to have nothing covered pass straight through; the others shuffle to meet their spans.
+    """
+    spans = cut(covered.groupBy("id", "key").agg(F.collect_list(F.struct("first", "past")).alias("spans")), "spans")
+    some = Bloom(spans.select(F.xxhash64("id", "key").alias("of")), "of", 1, spans.count())
+    keyed = identified(docs, "doc_id").withColumn("maybe", some.may_hold(F.xxhash64("id", "key")))
+    alone = keyed.filter("not maybe").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return alone.union(keyed.filter("maybe").join(spans, ["id", "key"], "left").select("doc_id", "text", "spans"))
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key"))
+def identified(docs: DataFrame, *more: str) -> DataFrame:
+    """(id, text, key, *more): a null doc_id is the least id; the key tells texts apart."""
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key"), *more)
