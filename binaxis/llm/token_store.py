@@ -1,9 +1,12 @@
 """A store of token ids: shards of raw ids, and a minimal perfect hash index from keys to places.
 
-Shard file: MAGIC, ids; then per document its key and the place of its first id, the ids' number, and a
-trailer (ids, documents, bytes of an id, MAGIC). Index file: one bucket of the keys; a minimal perfect hash
-and, by its value, entries of fingerprint, shard, slot in the shard, documents under that key. A lookup reads one entry, two
-places, and the document's ids, whatever the size of the store.
+Shard file: MAGIC, ids; then each document's key, and the place of each one's first id; and a
+trailer (ids, documents, bytes of an id, MAGIC). Index file: one bucket of the keys; the levels of a minimal perfect hash, its bits, the ones
+before each word of bits, and by the hash's value entries of fingerprint, shard, slot in the shard, documents under that key.
+
+``Store.get`` looks up one key: a few reads of fixed places in one index file and one shard, and the document's ids,
+whatever the size of the store. ``Store.lookup`` looks up many: a task reads the index files and the tables of
+places of its buckets and shards once, and each document's ids by their place.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import math
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +34,8 @@ TAIL = struct.calcsize(TRAILER)
 SHARD_TEXT, BUCKET_KEYS, MOST_FILES = 32 << 20, 1 << 16, 8192
 #: Stands for a null doc_id.
 NULL_KEY = -(1 << 63)
+#: Bytes before the sizes of an index file's levels.
+HEAD = 32
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("slot", "<u4"), ("run", "<u4")])
 
 
@@ -103,15 +109,15 @@ class Bucket:
 
     def to_bytes(self) -> bytes:
         head = np.array([len(self.hash.sizes), len(self.hash.words), len(self.entries), *self.hash.sizes], "<u8")
-        return INDEX_MAGIC + head.tobytes() + self.hash.words.astype("<u8").tobytes() + self.entries.tobytes()
+        return INDEX_MAGIC + head.tobytes() + self.hash.words.astype("<u8").tobytes() + self.hash.before.astype("<u4").tobytes() + self.entries.tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> Bucket:
         if raw[:8] != INDEX_MAGIC:
             raise ValueError("not an index file")
         levels, words, entries = np.frombuffer(raw, "<u8", 3, 8).tolist()
-        at = 32 + 8 * levels
-        return cls(PerfectHash(np.frombuffer(raw, "<u8", levels, 32).tolist(), np.frombuffer(raw, "<u8", words, at)), np.frombuffer(raw, ENTRY, entries, at + 8 * words))
+        at = HEAD + 8 * levels
+        return cls(PerfectHash(np.frombuffer(raw, "<u8", levels, HEAD).tolist(), np.frombuffer(raw, "<u8", words, at)), np.frombuffer(raw, ENTRY, entries, at + 12 * words))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entries of keys; run 0 where the fingerprint tells that a key is not in the store."""
@@ -124,6 +130,29 @@ class Bucket:
         return out
 
 
+def find_one(uri: str, key: int) -> np.void | None:
+    """The entry of one key, by reads of fixed places of an index file: the head, two for each level, one entry."""
+    bits = np.array([key], np.int64).view(np.uint64)
+    fs, path = local_fs(uri)
+    with fs.open_input_file(path) as file:
+        read = lambda at, n, kind: np.frombuffer(file.read_at(n * np.dtype(kind).itemsize, at), kind)
+        if file.read_at(8, 0) != INDEX_MAGIC:
+            raise ValueError(f"{uri} is not an index file")
+        levels, words, _ = read(8, 3, "<u8").tolist()
+        first, base = HEAD + 8 * levels, 0
+        for level, size in enumerate(read(HEAD, levels, "<u8").tolist()):
+            at = int((mixed(bits, level + 1) % np.uint64(size))[0])
+            word = (base + at) >> 6
+            own = int(read(first + 8 * word, 1, "<u8")[0])
+            if own >> (at & 63) & 1:
+                before = int(read(first + 8 * words + 4 * word, 1, "<u4")[0])
+                number = before + (own & ((1 << (at & 63)) - 1)).bit_count()
+                entry = read(first + 12 * words + ENTRY.itemsize * number, 1, ENTRY)[0]
+                return entry if entry["print"] == fingerprint(bits)[0] else None
+            base += size
+    return None
+
+
 # --- shards ---
 
 
@@ -134,15 +163,23 @@ class Shard:
         fs, path = local_fs(uri)
         self.file = fs.open_input_file(path)
         end = self.file.size()
-        n_ids, n_docs, self.width, magic = struct.unpack(TRAILER, self.file.read_at(TAIL, end - TAIL))
+        self.n_ids, self.n_docs, self.width, magic = struct.unpack(TRAILER, self.file.read_at(TAIL, end - TAIL))
         if magic != MAGIC:
             raise ValueError(f"{uri} is not a shard file")
-        table = np.frombuffer(self.file.read_at(16 * n_docs, end - TAIL - 16 * n_docs), "<i8")
-        self.keys, starts = table[:n_docs], table[n_docs:]
-        self.starts = np.append(starts, n_ids)
+        self.table = end - TAIL - 16 * self.n_docs
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, first ids) of all documents, for many look-ups; after the last comes the number of ids."""
+        table = np.frombuffer(self.file.read_at(16 * self.n_docs + 8, self.table), "<i8")
+        return table[: self.n_docs], table[self.n_docs :]
 
-    def ids(self, slot: int) -> np.ndarray:
-        lo, hi = int(self.starts[slot]), int(self.starts[slot + 1])
+    def place(self, slot: int) -> tuple[int, int, int]:
+        """(key, first id, past the last id) of one document, by two reads."""
+        key = int(np.frombuffer(self.file.read_at(8, self.table + 8 * slot), "<i8")[0])
+        lo, hi = np.frombuffer(self.file.read_at(16, self.table + 8 * (self.n_docs + slot)), "<i8").tolist()  # the trailer begins with the ids' number
+        return key, lo, hi
+
+    def ids(self, lo: int, hi: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at((hi - lo) * self.width, len(MAGIC) + lo * self.width), f"<u{self.width}")
 
     def close(self) -> None:
@@ -153,7 +190,7 @@ def _write_shards(folder: str, width: int):
     """Writes the rows of a partition, sorted by key, as one file; tells the place of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, shard, keys, starts, at = None, TaskContext.get().partitionId(), [], [], 0
+        out, shard, keys, starts, at = None, TaskContext.get().partitionId(), array("q"), array("q"), 0
         name = f"{folder}/shard-{shard:05d}-{uuid.uuid4().hex}.ids"  # of this attempt alone
         for batch in batches:
             if batch.num_rows and out is None:
@@ -206,6 +243,27 @@ class Store:
     n_shards: int
     n_buckets: int
 
+    def get(self, doc_id: int | None) -> list[tuple[int, np.ndarray]]:
+        """(place of the first id among all, ids) of the documents under one doc_id, read here by their places; none for a doc_id not in the store."""
+        from xxhash import xxh64_intdigest
+
+        key = NULL_KEY if doc_id is None else doc_id
+        h = xxh64_intdigest(struct.pack("<q", key), 42)  # as the engine's xxhash64
+        bucket = (h - (1 << 64) if h >> 63 else h) % self.n_buckets
+        entry = find_one(self.buckets[bucket], key) if bucket in self.buckets else None
+        if entry is None:
+            return []
+        uri, before = self.shards[int(entry["shard"])]
+        shard, out = Shard(uri), []
+        try:
+            for slot in range(int(entry["slot"]), int(entry["slot"]) + int(entry["run"])):
+                own, lo, hi = shard.place(slot)
+                if own == key:  # else another key's fingerprint was equal
+                    out.append((before + lo, shard.ids(lo, hi)))
+        finally:
+            shard.close()
+        return out
+
     def lookup(self, keys: DataFrame) -> DataFrame:
         """(doc_id, start, ids) of the documents under each of ``keys`` (a column ``key``, each once), through the index."""
         placed = _by_bucket(keys, self.n_buckets).mapInArrow(_find(self.buckets), "key long, shard int, slot long, run long")
@@ -252,11 +310,12 @@ def _fetch(files: dict[int, tuple[str, int]]):
                     if shard:
                         shard.close()
                     shard, number, base = Shard(files[s][0]), s, files[s][1]
+                    keys, starts = shard.places()
                 for k in range(slot, slot + n):
-                    if int(shard.keys[k]) != key:
+                    if int(keys[k]) != key:
                         continue  # another key's fingerprint was equal
-                    ids = shard.ids(k).astype("<u4").tobytes()
-                    rows.append((None if key == NULL_KEY else key, base + int(shard.starts[k]), len(ids) // 4, ids))
+                    ids = shard.ids(int(starts[k]), int(starts[k + 1])).astype("<u4").tobytes()
+                    rows.append((None if key == NULL_KEY else key, base + int(starts[k]), len(ids) // 4, ids))
                     size += len(ids)
                     if size > 1 << 22 or len(rows) >= 4096:
                         yield flush()
@@ -297,8 +356,9 @@ def write_store(docs: DataFrame, tokenizer: str | None = None, shard_text: int =
     at most: larger shards then, written as a stream). Each attempt of a task writes files of its own; only those of attempts
     that succeeded are named in the table of keys, so repeated or lost tasks do no harm.
 
-    A null text counts as empty: one id, the end id. Equal doc_ids stay next to each other, the
-    shorter first; a null doc_id comes before all others.
+    A null or empty text gives one id, the end id. Equal doc_ids stay next to each other, the
+    shorter first; a null doc_id comes before all others and shares the key NULL_KEY, so a document of that very doc_id is told as one
+    of none. A text of any length is one document of one shard. An empty table gives a store without files. Other columns are not read.
     """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
     keyed, folder = keys_of(docs), fresh_path(docs.sparkSession, "token-store")

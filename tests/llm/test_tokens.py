@@ -166,6 +166,44 @@ def test_store_keyed_access(docs, spark, ids):
     store = token_store.write_store(docs, shard_text=3000)
     asked = spark.createDataFrame([(3,), (7,), (10**9,), (-4,)], "key long")
     assert sorted(r["doc_id"] for r in store.lookup(asked).collect()) == [3, 7]
+    at = 0
+    for d in sorted(ids):
+        assert [(start, own.tolist()) for start, own in store.get(d)] == [(at, ids[d])]
+        at += len(ids[d])
+    assert all(store.get(d) == [] for d in (None, -4, 10**9, 2**62))
+
+
+def test_one_look_up_reads_a_few_places(docs, monkeypatch):
+    """Reads and bytes of a look-up follow the document alone, however many documents there are."""
+    store, read = token_store.write_store(docs), []
+    whole = token_store.local_fs
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def read_at(self, n, at):
+            read.append(n)
+            return self.file.read_at(n, at)
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+    def counted(uri):
+        fs, path = whole(uri)
+        return type("Fs", (), {"open_input_file": staticmethod(lambda p: Counted(fs.open_input_file(p)))}), path
+
+    monkeypatch.setattr(token_store, "local_fs", counted)
+    for d in range(0, 120, 7):
+        read.clear()
+        ((_, own),) = store.get(d)
+        assert len(read) <= 40 and sum(read) <= 600 + 2 * len(own)
 
 
 def test_store_odd_rows(odd, nothing):
@@ -173,7 +211,10 @@ def test_store_odd_rows(odd, nothing):
     assert sorted((r["doc_id"] for r in out), key=str) == sorted([None, 5, 5, 5, 6], key=str)
     spans = sorted((r["start"], r["n_tokens"]) for r in out)
     assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and next(r["start"] for r in out if r["doc_id"] is None) == 0
-    assert token_store.read_all(token_store.write_store(nothing), nothing).count() == 0
+    store = token_store.write_store(odd)
+    assert [len(store.get(d)) for d in (None, 5, 6, 7)] == [1, 3, 1, 0]
+    empty = token_store.write_store(nothing)
+    assert token_store.read_all(empty, nothing).count() == 0 and empty.get(1) == []
 
 
 @settings(max_examples=50, deadline=None)
