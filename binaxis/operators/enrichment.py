@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import midpoint, upper_tail
@@ -30,36 +30,88 @@ def observed(domains: DataFrame, peaks: DataFrame, width: int, window_bins: int
     return domains.select(*keys).distinct().join(hit, keys, "left").fillna({"observed_count": 0})
 
 
-def random_windows(n: DataFrame, permutations: int, seed: int = 42, exact: bool = False) -> DataFrame:
-    """(keys, perm, start, end): for each permutation as many windows as ``n`` tells, of ``length``, at random within ``size``.
+def random_starts(n: DataFrame, permutations: int, seed: int = 42, exact: bool = False) -> DataFrame:
+    """(keys, perm, length, starts): for each permutation the starts of as many windows as ``n`` tells, of ``length``, at random within ``size``.
 
     ``n`` has (keys, n, length, size). The generator is integer arithmetic that any SQL engine repeats; ``exact`` draws with
-    NumPy's default generator instead, seeded with seed + permutation.
+    NumPy's default generator instead, seeded with seed + permutation. Without room or windows there are no starts.
     """
     each = n.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     keys = [c for c in n.columns if c not in ("n", "length", "size")]
+    room = each.filter("n > 0 and size > length")
     if exact:
         def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
-                for row in pdf.itertuples(index=False):
-                    start = np.random.default_rng(seed + row.perm).integers(0, row.size - row.length, size=row.n)
-                    yield pd.DataFrame({k: getattr(row, k) for k in [*keys, "perm"]} | {"start": start, "end": start + row.length})
+                for lo in range(0, len(pdf), 1000):
+                    part = pdf.iloc[lo : lo + 1000]
+                    starts = [np.random.default_rng(seed + r.perm).integers(0, r.size - r.length, size=r.n) for r in part[["perm", "size", "length", "n"]].itertuples(index=False)]
+                    yield part[[*keys, "perm", "length"]].assign(starts=starts)
 
         kinds = dict(n.dtypes)
-        return each.repartition(*keys, "perm").mapInPandas(draw, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "perm int, start long, end long"]))
-    rows = each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    x = ((F.col("perm") + seed) * F.lit(1103515245).cast("long") + F.col("k") * 214013 + 2531011) % F.lit(1 << 31)
-    y = (x * 1664525 + 1013904223) % F.lit(1 << 32)
-    start = F.expr("_y * (size - length) div 4294967296")
-    return rows.filter("n > 0 and size > length").withColumn("_y", y).withColumn("start", start).select(*keys, "perm", "start", (F.col("start") + F.col("length")).alias("end"))
+        return room.repartition(*keys, "perm").mapInPandas(draw, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "perm int, length long, starts array<long>"]))
+
+    def start(k):
+        x = ((F.col("perm") + seed) * F.lit(1103515245).cast("long") + k * 214013 + 2531011) % F.lit(1 << 31)
+        y = (x * 1664525 + 1013904223) % F.lit(1 << 32)
+        return F.shiftright(y * (F.col("size") - F.col("length")), 32)
+
+    return room.select(*keys, "perm", F.col("length").cast("long").alias("length"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), start).alias("starts"))
+
+
+def random_windows(n: DataFrame, permutations: int, seed: int = 42, exact: bool = False) -> DataFrame:
+    """(keys, perm, start, end): the same, a row for each window."""
+    drawn = random_starts(n, permutations, seed, exact)
+    return drawn.withColumn("start", F.explode("starts")).withColumn("end", F.col("start") + F.col("length")).drop("starts", "length")
+
+
+def peak_index(peaks: DataFrame, width: int) -> DataFrame:
+    """(chrom, last, reach, bucket, starts, ends, before_s, before_e, near): where peaks start and end, by buckets of the axis.
+
+    ``starts`` and ``ends`` lie in the bucket, ``before_s`` and ``before_e`` count those in buckets before; ``near`` holds the peaks that begin in
+    this bucket or reach into it. ``reach`` is the longest peak, ``last`` the last bucket. Every bucket up to the last is there, so counts of any place need one equi-join.
+    """
+    own = peaks.select("chrom", F.col("start").cast("long").alias("start"), F.greatest("end", "start").cast("long").alias("end"))
+    at = lambda c: F.floor(F.col(c) / width)
+    whole = own.groupBy("chrom").agg(F.max(at("end")).alias("last"), F.max(F.col("end") - F.col("start")).alias("reach"))
+    s = own.groupBy("chrom", at("start").alias("bucket")).agg(F.collect_list("start").alias("starts"))
+    e = own.groupBy("chrom", at("end").alias("bucket")).agg(F.collect_list("end").alias("ends"))
+    n = own.select("chrom", F.explode(F.sequence(at("start"), at("end"))).alias("bucket"), F.struct("start", "end").alias("p")).groupBy("chrom", "bucket").agg(F.collect_list("p").alias("near"))
+    every = whole.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    out = every.join(s, ["chrom", "bucket"], "left").join(e, ["chrom", "bucket"], "left").join(n, ["chrom", "bucket"], "left")
+    before = Window.partitionBy("chrom").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return out.withColumns({"before_s": F.coalesce(F.sum(size("starts")).over(before), F.lit(0)), "before_e": F.coalesce(F.sum(size("ends")).over(before), F.lit(0))})
+
+
+def hit_counts(drawn: DataFrame, peaks: DataFrame, width: int, keys: list[str]) -> DataFrame:
+    """(keys, n): peaks that overlap any of the windows of a row of ``drawn``, which has (keys, starts, length) and ``chrom`` among the keys.
+
+    A row's windows are of one length, so between sorted ones lie its gaps, and a peak is not overlapped only if it lies in a gap. Peaks inside a gap [a, b]
+    are those that end by b, less those that start before a, but for those that do both sides at once, start before a and end after b. So each gap asks
+    the index of peaks at two places, and neither pairs of windows and peaks nor a distinct are made.
+    """
+    index = peak_index(peaks, width)
+    starts = F.array_sort("starts")
+    ends_of = lambda a: F.concat(F.array(F.lit(None).cast("long")), F.transform(a, lambda x: x + F.col("length")))
+    gaps = F.arrays_zip(ends_of(starts).alias("a"), F.concat(starts, F.array(F.lit(None).cast("long"))).alias("b"))
+    each = drawn.select(*keys, F.explode(gaps).alias("g")).select(*keys, F.col("g")["a"].alias("a"), F.col("g")["b"].alias("b")).filter("a is null or b is null or b >= a")
+    asked = each.select(*keys, "a", "b", F.explode(F.array(F.lit(True), F.lit(False))).alias("at_a")).withColumn("x", F.when(F.col("at_a"), F.col("a")).otherwise(F.col("b"))).filter("x is not null")
+    tops = index.select("chrom", "last", "reach").distinct()
+    asked = asked.join(F.broadcast(tops), "chrom").withColumn("bucket", F.greatest(F.lit(0).cast("long"), F.least(F.floor(F.col("x") / width), F.col("last"))))  # a row a chromosome
+    met = asked.join(index.drop("last", "reach"), ["chrom", "bucket"])
+    under = lambda c, test: F.coalesce(F.size(F.filter(c, test)), F.lit(0))
+    both = F.when(F.col("b") - F.col("a") < F.col("reach"), under("near", lambda p: (p["start"] < F.col("a")) & (p["end"] > F.col("b")))).otherwise(0)
+    started = F.col("before_s") + under("starts", lambda p: p < F.col("x"))
+    ended = F.col("before_e") + under("ends", lambda p: p <= F.col("x"))
+    # the gap before the first window holds what ends by it, that after the last what does not start before it; so the number of all peaks drops out
+    return met.groupBy(*keys).agg(F.sum(F.when(F.col("at_a"), started - both).otherwise(-ended)).cast("long").alias("n"))
 
 
 def null_counts(domains: DataFrame, peaks: DataFrame, sizes: DataFrame, width: int, permutations: int, window_bins: int = 1, seed: int = 42, exact: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """(keys, perm, n): peaks overlapped by the random windows of each permutation; permutations are rows of one join."""
+    """(keys, perm, n): peaks overlapped by the random windows of each permutation; permutations are rows of one plan."""
     keys = keys or ALGO
     n = boundaries(domains, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("length", 2 * F.lit(window_bins).cast("long") * F.col("resolution")).join(sizes.select("chrom", "size"), "chrom")
-    drawn = random_windows(n, permutations, seed, exact)
-    hit = overlaps(drawn, peaks, width, [*keys, "perm"]).groupBy(*keys, "perm").agg(F.count(F.lit(1)).alias("n"))
+    hit = hit_counts(random_starts(n, permutations, seed, exact), peaks, width, [*keys, "perm"])
     every = n.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
     return every.join(hit, [*keys, "perm"], "left").fillna({"n": 0})
 

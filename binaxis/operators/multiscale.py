@@ -14,7 +14,10 @@ from ..schema import KEY
 from .compare import pairwise_jaccard
 from .segment import window_sums
 
+#: The step of gamma, and the least windows of a length.
 STEP, LEAST_WINDOWS = 0.05, 100
+#: Groups of gammas of one chromosome.
+SWEEP_GROUPS = 4
 PER_MB, FLOORS = (0.8, 2.5), (10, 50)
 
 
@@ -95,18 +98,20 @@ def gammas_up_to(most: float, step: float = STEP) -> list[float]:
 def domain_sets(c: DataFrame, gammas: list[float], least_windows: int = LEAST_WINDOWS, k: int = 1) -> DataFrame:
     """(chrom, resolution, gamma, rank, weight, first, last): best domain sets of each gamma, in bins, ends included; weight 1 for the best.
 
-    Contacts enter by their logarithm. The sums of all windows of a chromosome are one task's: n squared numbers.
+    Contacts enter by their logarithm. Gammas are dealt to SWEEP_GROUPS groups of a chromosome, each a task's own, which sums all
+    windows once for its gammas: n squared numbers, so a group a gamma would send the contacts and sum them far more often.
     """
     from . import signals as S
 
     logs = c.filter("v > 0").join(S.n_bins(c), KEY).select(*KEY, "n", "i", "j", F.log("v").alias("v"))
-    spread = logs.groupBy(*KEY)
+    groups = min(SWEEP_GROUPS, len(gammas))
+    spread = logs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy(*KEY, "group")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
         sums = window_sums(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["v"].to_numpy(), n, n)
         rows = []
-        for g in gammas:
+        for g in gammas[int(pdf["group"].iloc[0]) :: groups]:
             q = qualities(sums, g, least_windows)
             found = [(1.0, best_set(q))] if k == 1 else best_sets(q, k)
             top = found[0][0]

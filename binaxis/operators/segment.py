@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import KEY
 
-#: Penalties tried, in order; segments per Mb that are aimed at, and the bounds of that.
+#: Penalties tried, in order; segments per Mb that are aimed at, and the bounds of that.
 PENALTIES = (2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.08, 0.05, 0.03, 0.01)
 PER_MB, BOUNDS = (0.8, 2.5), (5, 200)
 
@@ -43,7 +43,7 @@ def flank_scores(i: np.ndarray, j: np.ndarray, oe: np.ndarray, n: int, least: in
         right = t[hi - a, a] - own - t[hi - b, b]
         area = d * ((a - lo) + (hi - b))
         flank = np.divide(left + right, area, out=np.zeros(len(a)), where=area > 0)
-        out[d, a] = (2 * own - (diag[b] - diag[a])) / (d * d) - flank
+        out[d, a] = np.round((2 * own - (diag[b] - diag[a])) / (d * d) - flank, 9)  # so that no choice hangs on the order of sums
     return out
 
 
@@ -72,19 +72,35 @@ def cover(scores: np.ndarray, penalty: float, least: int, n: int) -> list[tuple[
     return out[::-1]
 
 
-def sweep(oe: DataFrame, least: int, most: int, penalties=PENALTIES) -> DataFrame:
-    """(chrom, resolution, n_bins, ord, penalty, s, e): the cover of each chromosome at every penalty. ``oe`` has (i, j, oe, n)."""
+def score_rows(oe: DataFrame, least: int, most: int) -> DataFrame:
+    """(chrom, resolution, n, b, scores): the scores of all windows that end at b, of lengths 0 to ``most``; once for all penalties. ``oe`` has (i, j, oe, n)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
         scores = flank_scores(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["oe"].to_numpy(), n, least, most)
-        rows = [(n, o, p, s, e) for o, p in enumerate(penalties) for s, e in cover(scores, p, least, n)]
-        out = pd.DataFrame(rows, columns=["n_bins", "ord", "penalty", "s", "e"])
-        out.insert(0, "resolution", int(pdf["resolution"].iloc[0]))
-        out.insert(0, "chrom", pdf["chrom"].iloc[0])
-        return out
+        d = np.arange(scores.shape[0])
+        own = [scores[d[: b + 1], b - d[: b + 1]] for b in range(n + 1)]
+        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "resolution": int(pdf["resolution"].iloc[0]), "n": n, "b": range(n + 1), "scores": own})
+
+    return oe.groupBy(*KEY).applyInPandas(run, "chrom string, resolution int, n long, b long, scores array<double>")
 
-    return oe.groupBy(*KEY).applyInPandas(run, "chrom string, resolution int, n_bins long, ord int, penalty double, s long, e long")
+
+def sweep(oe: DataFrame, least: int, most: int, penalties=PENALTIES) -> DataFrame:
+    """(chrom, resolution, n_bins, ord, penalty, s, e): the cover of each chromosome at every penalty, each a group of its own. ``oe`` has (i, j, oe, n)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("b")
+        n = int(pdf["n"].iloc[0])
+        scores = np.full((min(most, n) + 1, n + 1), -np.inf)
+        for b, own in zip(pdf["b"].tolist(), pdf["scores"]):
+            scores[np.arange(len(own)), b - np.arange(len(own))] = own
+        out = pd.DataFrame(cover(scores, float(pdf["penalty"].iloc[0]), least, n), columns=["s", "e"])
+        for at, c in enumerate(("chrom", "resolution", "n", "ord", "penalty")):
+            out.insert(at, c, pdf[c].iloc[0])
+        return out.rename(columns={"n": "n_bins"})
+
+    each = score_rows(oe, least, most).select("*", F.posexplode(F.array(*map(F.lit, map(float, penalties)))).alias("ord", "penalty"))
+    return each.groupBy(*KEY, "ord").applyInPandas(run, "chrom string, resolution int, n_bins long, ord int, penalty double, s long, e long")
 
 
 def choose_penalty(swept: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Reach and step of the peak profile; permutations; gammas of size means; bins of the distance mask.
-REACH, STEP, PERMUTATIONS, GAMMAS, MASK = 36000, 3600, 50, [0.5, 1.0], 20
+REACH, STEP, PERMUTATIONS, GAMMAS, MASK = 36000, 3600, Config().permutations, [0.5, 1.0], 20
 #: Bins of the longest domain and of the farthest contact, as a run has them by default.
 LONGEST, FARTHEST = Config().max_tad_kb * 1000 // E.CONTACT_RES, int(Config().max_distance_mb * 1e6 // E.CONTACT_RES)
 
@@ -74,7 +74,7 @@ own AS (SELECT *, 'a' || (user_id % 7) AS algorithm FROM ev),
 bnd AS (SELECT DISTINCT algorithm, chrom, unnest(["start", "end"]) AS pos FROM domains),
 snapped AS (SELECT DISTINCT algorithm, chrom, round_even(pos / 3600.0, 0)::BIGINT * 3600 AS pos FROM bnd),
 sizes AS (SELECT chrom, (max(t) // 3600 + 1) * 3600 AS size FROM ev GROUP BY chrom),
-peaks AS (SELECT event_id AS peak_id, chrom, t AS "start", t + 900 AS "end" FROM ev WHERE event_id % 4 = 0)"""
+peaks AS (SELECT event_id AS peak_id, chrom, t AS "start", t + 900 AS "end" FROM ev)"""
 REFERENCE = f"""{DOMAINS},
 ref_own AS (SELECT *, 'ref' AS algorithm FROM ev WHERE user_id % 11 = 3),
 {_sessions("reference", "ref_own", 2)},
@@ -538,7 +538,22 @@ def hierarchy_children(spark, sf_dir):
     return out.select("algorithm", "chrom", "parent_depth", "parent_start", "parent_end", "start_bin", "end_bin")
 
 
-@query("hierarchy_selection")
+#: Thresholds of the lengths of domains, falling by three tenths from n // 20 bins on while they hold two least domains; else three fixed ones.
+SELECTION = f"""{DOMAINS}, {_sessions('wide4', 'own', 4)}, {_sessions('fine1', 'own', 1)},
+  h AS (SELECT algorithm, chrom, ("start" // 900)::INT AS s, ("end" // 900)::INT AS e, 1 AS depth FROM wide4 UNION ALL SELECT algorithm, chrom, ("start" // 900)::INT, ("end" // 900)::INT, 2 FROM domains UNION ALL SELECT algorithm, chrom, ("start" // 900)::INT, ("end" // 900)::INT, 3 FROM fine1),
+  lim AS (SELECT algorithm, chrom, max(e) // 20 AS t, 1 AS step FROM h GROUP BY ALL UNION ALL SELECT algorithm, chrom, trunc(t * 0.7::DOUBLE)::INT, step + 1 FROM lim WHERE t >= 6),
+  lims AS (SELECT algorithm, chrom, t, step FROM lim WHERE t >= 6 UNION ALL SELECT algorithm, chrom, unnest([12, 9, 6]), unnest([1, 2, 3]) FROM lim WHERE step = 1 AND t < 6),
+  fit AS (SELECT * FROM h WHERE e - s >= 3),
+  rows_of AS (SELECT algorithm, chrom, list({{'s': s, 'e': e, 'd': depth}} ORDER BY s, e, depth) AS own, min(depth) AS top FROM fit GROUP BY ALL),
+  cut AS (SELECT algorithm, chrom, 0 AS step, own, list_filter(own, lambda x: x.d = top) AS now, list_filter(own, lambda x: x.d = top) AS best, false AS done FROM rows_of
+    UNION ALL SELECT algorithm, chrom, step, own, next, CASE WHEN abs(len(next) - 40) < abs(len(best) - 40) OR len(next) BETWEEN 20 AND 60 THEN next ELSE best END, len(next) BETWEEN 20 AND 60
+    FROM (SELECT c.algorithm, c.chrom, l.step, own, best, CASE WHEN len(now) BETWEEN 20 AND 60 THEN now ELSE flatten(list_transform(now, lambda r:
+        CASE WHEN r.e - r.s > l.t AND len(list_filter(own, lambda x: x.d = r.d + 1 AND x.s >= r.s AND x.e <= r.e)) >= 2 THEN list_filter(own, lambda x: x.d = r.d + 1 AND x.s >= r.s AND x.e <= r.e) ELSE [r] END)) END AS next
+      FROM cut c JOIN lims l ON l.algorithm = c.algorithm AND l.chrom = c.chrom AND l.step = c.step + 1 WHERE NOT done)),
+  last AS (SELECT algorithm, chrom, unnest(best) AS r FROM (SELECT *, row_number() OVER (PARTITION BY algorithm, chrom ORDER BY step DESC) AS k FROM cut) WHERE k = 1)"""
+
+
+@query("hierarchy_selection", f"WITH RECURSIVE {SELECTION} SELECT algorithm, chrom, r.s AS start_bin, r.e AS end_bin, r.d AS depth FROM last")
 def hierarchy_selection(spark, sf_dir):
     return H.selected(E.hierarchy(E.events(spark, sf_dir)), ["algorithm", "chrom"], 3, 20, 60)
 
@@ -555,13 +570,38 @@ def armatus_top_sets(spark, sf_dir):
     return X.domain_sets(binned(spark, sf_dir), [0.5], 10, k=3).select("chrom", "gamma", "rank", r6("weight"), "first", "last")
 
 
-@query("penalty_sweep_choice")
+#: Scores of windows [a, b) against their flanks, and for each penalty the cover of least cost by dynamic programming over b.
+COVERS = f"""{BINNED}, ex AS (SELECT chrom, j - i AS d, avg(v) AS m FROM c WHERE v > 0 GROUP BY ALL),
+oe AS (SELECT c.chrom, i, j, v / m AS x FROM c JOIN ex ON c.chrom = ex.chrom AND c.j - c.i = ex.d),
+grid AS (SELECT chrom, n, bin AS j, unnest(range(bin + 1)) AS i FROM bins),
+col AS (SELECT g.chrom, g.n, g.i, g.j, sum(coalesce(x, 0)) OVER (PARTITION BY g.chrom, g.j ORDER BY g.i DESC) AS s FROM grid g LEFT JOIN oe ON oe.chrom = g.chrom AND oe.i = g.i AND oe.j = g.j),
+sums AS (SELECT chrom, n, i AS a, j + 1 AS b, sum(s) OVER (PARTITION BY chrom, i ORDER BY j) AS t FROM col UNION ALL SELECT chrom, n, bin, bin, 0 FROM bins UNION ALL SELECT chrom, n, n, n, 0 FROM nb),
+diag AS (SELECT bins.chrom, bin + 1 AS b, sum(coalesce(x, 0)) OVER (PARTITION BY bins.chrom ORDER BY bin) AS t FROM bins LEFT JOIN oe ON oe.chrom = bins.chrom AND oe.i = bin AND oe.j = bin UNION ALL SELECT chrom, 0, 0 FROM nb),
+fl AS (SELECT chrom, n, a, b, t AS own, b - a AS d, greatest(0, 2 * a - b) AS lo, least(n, 2 * b - a) AS hi FROM sums WHERE b - a BETWEEN 4 AND {LONGEST}),
+sc AS (SELECT f.chrom, f.n, f.a, f.b, round((2 * own - (y.t - x.t)) / (f.d * f.d) - ((lb.t - la.t - own) + (ah.t - own - bh.t)) / nullif(f.d * ((f.a - lo) + (hi - f.b)), 0), 9) AS score,
+    round((2 * own - (y.t - x.t)) / (f.d * f.d), 9) AS alone
+  FROM fl f JOIN diag x ON x.chrom = f.chrom AND x.b = f.a JOIN diag y ON y.chrom = f.chrom AND y.b = f.b
+  JOIN sums lb ON lb.chrom = f.chrom AND lb.a = lo AND lb.b = f.b JOIN sums la ON la.chrom = f.chrom AND la.a = lo AND la.b = f.a
+  JOIN sums ah ON ah.chrom = f.chrom AND ah.a = f.a AND ah.b = hi JOIN sums bh ON bh.chrom = f.chrom AND bh.a = f.b AND bh.b = hi),
+ends AS (SELECT chrom, n, b, min(a) AS first, list(coalesce(score, alone) ORDER BY a) AS scores FROM sc GROUP BY ALL),
+pen AS (SELECT unnest(range({len(G.PENALTIES)}))::INT AS ord, unnest([{", ".join(f"{p}::DOUBLE" for p in G.PENALTIES)}]) AS penalty),
+dp AS (SELECT chrom, n, ord, penalty, 0::BIGINT AS b, [0.0::DOUBLE] AS best, [-1::BIGINT] AS back FROM nb, pen
+  UNION ALL SELECT chrom, n, ord, penalty, b, list_append(best, coalesce(list_max(ways), '-inf'::DOUBLE)),
+    list_append(back, CASE WHEN list_max(ways) > '-inf'::DOUBLE THEN first + list_position(ways, list_max(ways)) - 1 ELSE -1 END)
+  FROM (SELECT d.chrom, d.n, d.ord, d.penalty, d.b + 1 AS b, d.best, d.back, e.first, list_transform(e.scores, lambda s, k: d.best[e.first + k] + s - d.penalty) AS ways
+    FROM dp d LEFT JOIN ends e ON e.chrom = d.chrom AND e.b = d.b + 1 WHERE d.b < d.n)),
+seg AS (SELECT chrom, n, ord, penalty, back, back[n + 1] AS s, n AS e FROM dp WHERE b = n UNION ALL SELECT chrom, n, ord, penalty, back, back[s + 1], s FROM seg WHERE s > 0),
+tads AS (SELECT chrom, n, ord, penalty, count(*) AS n_tads, greatest(5, floor(n * 0.025::DOUBLE * 0.8)) AS lo, least(200, floor(n * 0.025::DOUBLE * 2.5)) AS hi FROM seg GROUP BY ALL),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY n_tads BETWEEN lo AND hi DESC, CASE WHEN n_tads BETWEEN lo AND hi THEN 0 ELSE abs(n_tads - (lo + hi) / 2) END, ord) AS k FROM tads) WHERE k = 1)"""
+
+
+@query("penalty_sweep_choice", f"WITH RECURSIVE {COVERS} SELECT chrom, ord, penalty, n_tads FROM chosen")
 def penalty_sweep_choice(spark, sf_dir):
     c = binned(spark, sf_dir)
     return G.choose_penalty(G.sweep(S.observed_over_expected(c).join(S.n_bins(c), KEY), 4, LONGEST)).select("chrom", "ord", "penalty", "n_tads")
 
 
-@query("modularity_domains")
+@query("modularity_domains", f"""WITH RECURSIVE {COVERS} SELECT chrom, s * 25000 AS "start", e * 25000 AS "end" FROM seg JOIN chosen USING (chrom, ord) WHERE e - s >= 4""")
 def modularity_domains(spark, sf_dir):
     return G.flank_contrast_domains(binned(spark, sf_dir), 4, LONGEST, FARTHEST).select("chrom", "start", "end")
 
@@ -604,37 +644,49 @@ nul AS (SELECT a.algorithm, a.chrom, a.perm, count(DISTINCT p.peak_id) AS n FROM
   LEFT JOIN rw USING (algorithm, chrom, perm) LEFT JOIN peaks p ON p.chrom = rw.chrom AND p."start" < rw."start" + 7200 AND p."end" > rw."start" GROUP BY ALL)"""
 
 
-def sql_peaks(ev: DataFrame) -> DataFrame:
-    """The peaks that the given SQL has: a quarter of the events."""
-    return E.peaks(ev).filter("peak_id % 4 = 0")
-
-
 @query("peak_overlap_observed", f"WITH {DOMAINS}, {OBSERVED} SELECT * FROM obs")
 def peak_overlap_observed(spark, sf_dir):
     ev = E.events(spark, sf_dir)
-    return N.observed(E.domains(ev), sql_peaks(ev), 7200).select("algorithm", "chrom", "observed_count")
+    return N.observed(E.domains(ev), E.peaks(ev), 7200).select("algorithm", "chrom", "observed_count")
 
 
 @query("permutation_null_counts", f"WITH {DOMAINS}, {NULLS} SELECT algorithm, chrom, perm::INT AS perm, n FROM nul")
 def permutation_null_counts(spark, sf_dir):
     ev = E.events(spark, sf_dir)
-    return N.null_counts(E.domains(ev), sql_peaks(ev), E.sizes(ev), 7200, PERMUTATIONS).select("algorithm", "chrom", "perm", "n")
+    return N.null_counts(E.domains(ev), E.peaks(ev), E.sizes(ev), 7200, PERMUTATIONS).select("algorithm", "chrom", "perm", "n")
 
 
 @query("enrichment_summary", f"""WITH {DOMAINS}, {OBSERVED}, {NULLS}, m AS (SELECT algorithm, chrom, avg(n) AS mean, stddev_pop(n) AS std FROM nul GROUP BY ALL)
   SELECT algorithm, chrom, observed_count, round(mean, 6) AS mean_random, round(std, 6) AS std_random, round(observed_count / (mean + 1e-9), 6) AS enrichment_score, round((observed_count - mean) / (std + 1e-9), 6) AS z_score FROM obs JOIN m USING (algorithm, chrom)""")
 def enrichment_summary(spark, sf_dir):
     ev = E.events(spark, sf_dir)
-    out = N.enrichment(E.domains(ev), sql_peaks(ev), E.sizes(ev), 7200, PERMUTATIONS)
+    out = N.enrichment(E.domains(ev), E.peaks(ev), E.sizes(ev), 7200, PERMUTATIONS)
     return out.select("algorithm", "chrom", "observed_count", r6("mean_random"), r6("std_random"), r6("enrichment_score"), r6("z_score"))
 
 
-@query("enrichment_validation")
+#: One-sided p of a normal deviate z, by Simpson's rule on the density from |z| on.
+TAIL = "(SELECT sum(w * exp(-(abs(z) + k / 100.0::DOUBLE) * (abs(z) + k / 100.0::DOUBLE) / 2)) / 300 / sqrt(2 * pi()) FROM (SELECT k, CASE WHEN k IN (0, 1000) THEN 1 ELSE 2 + 2 * (k % 2) END AS w FROM (SELECT unnest(range(1001)) AS k)))"
+
+
+@query("enrichment_validation", f"""WITH {CLUSTERS}, kb AS (SELECT 'algorithm' AS type, algorithm, NULL::INT AS support, algorithm AS k, chrom, pos FROM bnd
+    UNION SELECT 'consensus', NULL, support, 's' || support, chrom, unnest([position, position + 3600]) FROM consensus WHERE support IN (2, 3, 4)),
+  win AS (SELECT k, chrom, greatest(pos - 3600, 0) AS "start", pos + 3600 AS "end" FROM kb),
+  nw AS (SELECT k, chrom, any_value(type) AS type, any_value(algorithm) AS algorithm, any_value(support) AS support, count(*) AS n, any_value(size) AS size FROM kb JOIN sizes USING (chrom) GROUP BY k, chrom),
+  obs AS (SELECT a.k, a.chrom, count(DISTINCT p.peak_id) AS observed_count FROM nw a LEFT JOIN win w ON w.k = a.k AND w.chrom = a.chrom LEFT JOIN peaks p ON p.chrom = w.chrom AND p."start" < w."end" AND p."end" > w."start" GROUP BY ALL),
+  dr AS (SELECT k, chrom, perm, ((((perm + 42) * 1103515245 + i * 214013 + 2531011) % 2147483648) * 1664525 + 1013904223) % 4294967296 AS y, size FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, unnest(range({PERMUTATIONS})) AS perm FROM nw))),
+  rw AS (SELECT k, chrom, perm, y * (size - 7200) // 4294967296 AS "start" FROM dr WHERE size > 7200),
+  nul AS (SELECT a.k, a.chrom, a.perm, count(DISTINCT p.peak_id) AS n FROM (SELECT k, chrom, unnest(range({PERMUTATIONS})) AS perm FROM nw) a
+    LEFT JOIN rw USING (k, chrom, perm) LEFT JOIN peaks p ON p.chrom = rw.chrom AND p."start" < rw."start" + 7200 AND p."end" > rw."start" GROUP BY ALL),
+  m AS (SELECT k, chrom, avg(n) AS mean, stddev_pop(n) AS std FROM nul GROUP BY ALL),
+  zs AS (SELECT nw.*, observed_count, mean, std, (observed_count - mean) / (std + 1e-9) AS z FROM nw JOIN obs USING (k, chrom) JOIN m USING (k, chrom)),
+  ps AS (SELECT *, {TAIL} AS upper FROM zs)
+  SELECT type, algorithm, support::VARCHAR AS support, chrom, observed_count, round(mean, 6) AS mean_random, round(std, 6) AS std_random, round(observed_count / (mean + 1e-9), 6) AS enrichment_score,
+         round(CASE WHEN z < 0 THEN 1 - upper ELSE upper END, 6) AS p_value, round(z, 6) AS z_score FROM ps""")
 def enrichment_validation(spark, sf_dir):
     ev = E.events(spark, sf_dir)
     own = E.domains(ev)
     out = N.validation(own, B.consensus(own), E.peaks(ev), E.sizes(ev), 7200, Config().permutations)
-    return out.select("type", "algorithm", "support", "chrom", "observed_count", r6("mean_random"), r6("std_random"), r6("enrichment_score"), r6("p_value"), r6("z_score"))
+    return out.select("type", "algorithm", F.col("support").cast("string").alias("support"), "chrom", "observed_count", r6("mean_random"), r6("std_random"), r6("enrichment_score"), r6("p_value"), r6("z_score"))
 
 
 @query("peak_profile", f"""WITH {DOMAINS}, inn AS (SELECT b.* FROM bnd b JOIN sizes USING (chrom) WHERE pos >= {REACH} AND pos <= size - {REACH}),
@@ -645,4 +697,4 @@ def enrichment_validation(spark, sf_dir):
   FROM tot t CROSS JOIN (SELECT unnest(range({2 * REACH // STEP}))::INT AS bin) g LEFT JOIN cnt c ON c.algorithm = t.algorithm AND c.chrom = t.chrom AND c.bin = g.bin""")
 def peak_profile(spark, sf_dir):
     ev = E.events(spark, sf_dir)
-    return N.profile(E.domains(ev), sql_peaks(ev), E.sizes(ev), REACH, STEP).select("algorithm", "chrom", "bin", "center", "n", r6("density"))
+    return N.profile(E.domains(ev), E.peaks(ev), E.sizes(ev), REACH, STEP).select("algorithm", "chrom", "bin", "center", "n", r6("density"))
