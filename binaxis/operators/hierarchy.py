@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+from itertools import accumulate, repeat, takewhile
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import KEY
+
+#: By what part a threshold falls, and thresholds, in least domains, where an axis is too short to fall.
+FALL, SHORT = 0.7, (4, 3, 2)
+#: Penalties of a sweep, in order; domains per Mb that are aimed at, and the bounds of that.
+PENALTIES, PER_MB, BOUNDS = (0.1, 0.05, 0.02, 0.01, 0.005), (0.8, 2.5), (5, 200)
+#: Bins of a bucket in the join of parents and children.
+BUCKET = 64
+
 
 def children(rows: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
-    """Pairs of a domain and those one level deeper that lie inside it and are long enough; equi-joined on keys and depth."""
-    p = rows.select(*keys, F.col("depth").alias("parent_depth"), F.col("start_bin").alias("parent_start"), F.col("end_bin").alias("parent_end"), (F.col("depth") + 1).alias("depth"))
+    """Pairs of a domain and those one level deeper that lie inside it and are long enough.
+
+    Equi-joined on keys, depth and buckets of the axis: a child is looked for in the buckets that its parent covers, by where it starts.
+    """
+    at = lambda c: F.floor(F.col(c) / BUCKET)
+    p = rows.select(*keys, F.col("depth").alias("parent_depth"), F.col("start_bin").alias("parent_start"), F.col("end_bin").alias("parent_end"), (F.col("depth") + 1).alias("depth"), F.explode(F.sequence(at("start_bin"), at("end_bin"))).alias("_bucket"))
     inside = (F.col("start_bin") >= F.col("parent_start")) & (F.col("end_bin") <= F.col("parent_end")) & (F.col("end_bin") - F.col("start_bin") >= least)
-    return p.join(rows.select(*keys, "depth", "start_bin", "end_bin"), [*keys, "depth"]).filter(inside)
+    return p.join(rows.select(*keys, "depth", "start_bin", "end_bin", at("start_bin").alias("_bucket")), [*keys, "depth", "_bucket"]).filter(inside).drop("_bucket")
 
 
 def thresholds(n: int, low: int, least: int) -> list[int]:
-    out, t = [], n // max(1, low)
-    while t >= 2 * least:
-        out.append(t)
-        t = int(t * 0.7)
-    return out or [4 * least, 3 * least, 2 * least]
+    """Lengths above which a domain gives way to its children, from the mean one on, while two least domains fit."""
+    falling = accumulate(repeat(FALL), lambda t, fall: int(t * fall), initial=n // max(1, low))
+    return list(takewhile(lambda t: t >= 2 * least, falling)) or [k * least for k in SHORT]
 
 
 def divide(rows: list[tuple[int, int, int]], n: int, low: int, high: int, least: int) -> list[tuple[int, int, int]]:
@@ -52,17 +65,42 @@ def _replaced(r: tuple[int, int, int], rows: list[tuple[int, int, int]], limit:
 
 
 def selected(rows: DataFrame, keys: list[str], least: int = 3, low: int = 20, high: int = 200) -> DataFrame:
-    """(keys, start_bin, end_bin, depth): the chosen set of each key; a hierarchy is small, one group each."""
+    """(keys, start_bin, end_bin, depth): the chosen set of each key; a hierarchy is small, one group each.
+
+    Columns ``n``, ``low``, ``high``, ``least`` of ``rows``, where they are, tell bins and aims of each key; else the last bin and the arguments do.
+    """
+    own = [c for c in ("n", "low", "high", "least") if c in rows.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = divide(list(zip(pdf["start_bin"].tolist(), pdf["end_bin"].tolist(), pdf["depth"].tolist())), int(pdf["end_bin"].max()), low, high, least)
+        aim = {"n": int(pdf["end_bin"].max()), "low": low, "high": high, "least": least} | {c: int(pdf[c].iloc[0]) for c in own}
+        found = divide(list(zip(pdf["start_bin"].tolist(), pdf["end_bin"].tolist(), pdf["depth"].tolist())), aim["n"], aim["low"], aim["high"], aim["least"])
         out = pd.DataFrame(found, columns=["start_bin", "end_bin", "depth"])
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
     kinds = dict(rows.dtypes)
-    return rows.select(*keys, "start_bin", "end_bin", "depth").groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "start_bin int, end_bin int, depth int"]))
+    return rows.select(*keys, "start_bin", "end_bin", "depth", *own).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "start_bin int, end_bin int, depth int"]))
+
+
+def swept_domains(rows: DataFrame, n_bins: DataFrame, least_bins: int = 3, least_kb: int = 100, fallback: DataFrame | None = None) -> DataFrame:
+    """(chrom, resolution, start, end): from the hierarchies of several penalties, that whose selected domains are on target for the chromosome's size.
+
+    ``rows`` has (chrom, resolution, penalty, HIERARCHY), bins counted from 1; ``n_bins`` has (chrom, resolution, n). Penalties are tried in falling order: the first on target is taken, else
+    that nearest to the middle of it, the first of equals. A chromosome without a hierarchy, or whose domains are all too short, takes those of ``fallback``.
+    """
+    mb = F.col("n") * F.col("resolution") / 1e6
+    least = F.greatest(F.lit(least_bins), F.floor(F.lit(least_kb) * 1000 / F.col("resolution"))).cast("int")
+    aims = n_bins.select(*KEY, "n", F.greatest(F.lit(BOUNDS[0]), F.floor(mb * PER_MB[0])).cast("int").alias("low"), F.least(F.lit(BOUNDS[1]), F.floor(mb * PER_MB[1])).cast("int").alias("high"), least.alias("least"))
+    chosen = selected(rows.join(aims, KEY), [*KEY, "penalty"])
+    counts = chosen.groupBy(*KEY, "penalty").agg(F.count(F.lit(1)).alias("_k")).join(aims, KEY)
+    on = F.col("_k").between(F.col("low"), F.col("high"))
+    order = Window.partitionBy(*KEY).orderBy(F.desc(on), F.when(on, F.lit(0.0)).otherwise(F.abs(F.col("_k") - (F.col("low") + F.col("high")) / 2)), F.desc("penalty"))
+    best = counts.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*KEY, "penalty", "n", "least")
+    start, end = (F.col("start_bin") - 1) * F.col("resolution"), F.least(F.col("end_bin"), F.col("n")) * F.col("resolution")
+    found = chosen.join(best, [*KEY, "penalty"]).select(*KEY, start.cast("long").alias("start"), end.cast("long").alias("end"), (F.col("least") * F.col("resolution")).alias("_least"))
+    found = found.filter(F.col("end") - F.col("start") >= F.col("_least")).drop("_least")
+    return found if fallback is None else found.unionByName(fallback.select(*found.columns).join(found.select(*KEY).distinct(), KEY, "left_anti"))
 
 
 def hierarchy_domains(rows: DataFrame, n_bins: DataFrame, least: int = 3, low: int = 20, high: int = 200) -> DataFrame:

@@ -81,11 +81,15 @@ def least_squares_cut(costs: Costs, penalty: float, least: int) -> list[int]:
     return out[::-1]
 
 
-def penalty_grid(rows: np.ndarray, size: int = 20) -> np.ndarray:
+#: Fixed values of the grid: its ends in total variances, its least lower end in bins, its least span, its penalties.
+GRID_ENDS, GRID_LOW, GRID_SPAN, GRID_SIZE = (0.05, 20.0), 0.001, 10, 20
+
+
+def penalty_grid(rows: np.ndarray, size: int = GRID_SIZE) -> np.ndarray:
     n = len(rows)
     typical = float(np.trace(np.atleast_2d(np.cov(rows.T)))) if n > 2 else 1.0
-    low = max(typical * 0.05, n * 0.001)
-    return np.logspace(np.log10(low), np.log10(max(typical * 20.0, low * 10)), size)
+    low = max(typical * GRID_ENDS[0], n * GRID_LOW)
+    return np.logspace(np.log10(low), np.log10(max(typical * GRID_ENDS[1], low * GRID_SPAN)), size)
 
 
 def _caller(dimensions: int, least_kb: int, penalties):

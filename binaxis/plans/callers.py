@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import minima, multiscale, segment, signals, spectral, states
+from .. import schema
+from ..operators import hierarchy, minima, multiscale, segment, signals, spectral, states
 from ..schema import KEY
+from ..sources import files
 from .config import Config
 
 Caller = Callable[[DataFrame, DataFrame, Config], DataFrame]
@@ -25,6 +29,39 @@ def register(name: str) -> Callable[[Caller], Caller]:
     return add
 
 
+def normalised(result, chrom: str, resolution: int) -> pd.DataFrame:
+    """(chrom, resolution, start, end) out of what an external caller gives: a frame with start and end (and maybe chrom), pairs, or an array of two columns.
+
+    Rows that do not end after they start go; None, and what has no two columns, gives no rows.
+    """
+    columns = ["chrom", "resolution", "start", "end"]
+    if isinstance(result, pd.DataFrame):
+        out = result[["start", "end"]].copy()
+        out["chrom"] = result["chrom"] if "chrom" in result else chrom
+    else:
+        pairs = np.asarray([] if result is None else result)
+        out = pd.DataFrame(pairs[:, :2] if pairs.ndim == 2 and pairs.shape[1] >= 2 else np.zeros((0, 2)), columns=["start", "end"])
+        out["chrom"] = chrom
+    out["resolution"] = resolution
+    out = out.dropna(subset=["start", "end"]).astype({"start": "int64", "end": "int64"})
+    return out[out["end"] > out["start"]][columns].reset_index(drop=True)
+
+
+def register_matrix(name: str) -> Callable:
+    """Add a caller that takes one chromosome's dense, symmetric matrix and the resolution; its result is normalised. A matrix is one task's: limit the chromosomes."""
+
+    def add(call):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            res = int(pdf["resolution"].iloc[0])
+            matrix = spectral.dense(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["v"].to_numpy(), int(pdf["n"].iloc[0]))
+            return normalised(call(matrix, res), pdf["chrom"].iloc[0], res)
+
+        register(name)(lambda c, sizes, cfg: c.join(signals.n_bins(c), KEY).select(*KEY, "n", "i", "j", "v").groupBy(*KEY).applyInPandas(run, schema.CALLED))
+        return call
+
+    return add
+
+
 def _per_resolution(c: DataFrame, cfg: Config, call) -> DataFrame:
     """Parameters that depend on the bin width: one plan for each configured resolution."""
     out = None
@@ -61,7 +98,12 @@ def _states(c, sizes, cfg):
 
 @register("ontad")
 def _flanks(c, sizes, cfg):
-    return minima.flank_domains(c, cfg.min_bins)
+    """Domains out of an external caller's hierarchies, where ``cfg.hierarchies`` names them; minima of flank means for all other chromosomes."""
+    plain = minima.flank_domains(c, cfg.min_bins)
+    if not cfg.hierarchies:
+        return plain
+    rows = files.read_hierarchy_tree(c.sparkSession, cfg.hierarchies)
+    return hierarchy.swept_domains(rows, signals.n_bins(c), cfg.min_bins, cfg.min_tad_kb, plain)
 
 
 @register("modularity_tad")

@@ -6,12 +6,20 @@ import ast
 from dataclasses import dataclass, field, fields, replace
 
 
+def _from(first: int) -> list[str]:
+    return [f"chr{k}" for k in range(first, 23)]
+
+
+# Chromosomes whose dense matrix the spectral caller may hold, by resolution; and the defaults of Config.
+SPECTRAL_LIMITS = {10_000: _from(21), 25_000: _from(17), 50_000: _from(1), 100_000: _from(1)}
+
+
 @dataclass(frozen=True)
 class Config:
     resolutions: tuple[int, ...] = (25000,)
     chromosomes: tuple[str, ...] = ()
     algorithms: tuple[str, ...] = ("armatus", "topdom", "scktld", "coitad", "dihmm", "ontad", "modularity_tad")
-    limits: dict = field(default_factory=dict)  # algorithm -> {resolution: [chromosomes]}
+    limits: dict = field(default_factory=lambda: {"scktld": dict(SPECTRAL_LIMITS)})  # algorithm -> {resolution: [chromosomes]}
     windows: tuple[int, ...] = (3, 5, 10)
     gammas: tuple[float, ...] = (0.1, 0.3, 0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.9, 1.0, 2.0)
     least_windows: int = 100
@@ -26,6 +34,7 @@ class Config:
     di_window: int = 10
     hmm_rounds: int = 100
     min_bins: int = 3
+    hierarchies: str | None = None  # glob of hierarchy files of an external caller
     tolerance_bins: int = 1
     min_support: int = 2
     reference_tolerances: tuple[int, ...] = (1, 2)

@@ -58,6 +58,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--algorithms", nargs="*")
     for flag in ("prep-data", "only-viz", "skip-stats", "skip-validation", "skip-report", "force"):
         p.add_argument(f"--{flag}", action="store_true")
+    p.add_argument("--views", nargs="*", metavar="CHROM:FIRST-PAST", help="views to write, in bp")
     p.add_argument("--log-level", default="INFO")
     return p.parse_args(argv)
 
@@ -71,22 +72,31 @@ def main(argv: list[str] | None = None) -> int:
         log.error("unknown algorithms: %s", ", ".join(unknown))
         return 1
     spark = SparkSession.builder.appName("binaxis").getOrCreate()
+    spans = {c: (int(a), int(b)) for c, _, ab in (v.partition(":") for v in args.views or ()) for a, _, b in [ab.partition("-")]}
+    if args.only_viz and not spans:
+        log.error("--only-viz needs --views")
+        return 1
     contacts = files.first_of(spark, [lambda: files.read_table(spark, args.contacts, schema.CONTACTS), lambda: files.read_triples_tree(spark, args.contacts)])
     if args.prep_data:
         files.prepare(contacts, f"{args.out}/contacts", args.force)
         return 0
+    if args.only_viz:  # views of the domains that a run before left
+        domains = files.read_domains(spark, f"{args.out}/domains")
+        render.write_views(render.views(contacts, domains, B.consensus(domains, cfg.tolerance_bins, cfg.min_support, least_algorithms=2), spans), f"{args.out}/views")
+        return 0
     peaks = files.read_bed3(spark, args.peaks) if args.peaks else None
     reference = None
     if args.reference:
         reference = files.read_reference(spark, args.reference, cfg.resolutions[0])
         reference = reference.drop("resolution").withColumn("resolution", F.explode(F.array(*map(F.lit, cfg.resolutions))))
     result = run(contacts, cfg, peaks, reference, skip_statistics=args.skip_stats, skip_validation=args.skip_validation)
-    if not args.only_viz:
-        files.write_domains(result.domains, f"{args.out}/domains")
-        files.write_bed(B.consensus_bed6(result.consensus), f"{args.out}/consensus")
-        files.write_tables(result.statistics, f"{args.out}/statistics")
-        if result.validation is not None:
-            files.write_tables({"validation": result.validation}, f"{args.out}/statistics")
+    files.write_domains(result.domains, f"{args.out}/domains")
+    files.write_bed(B.consensus_bed6(result.consensus), f"{args.out}/consensus")
+    files.write_tables(result.statistics, f"{args.out}/statistics")
+    if result.validation is not None:
+        files.write_tables({"validation": result.validation}, f"{args.out}/statistics")
+    if spans:
+        render.write_views(render.views(contacts, result.domains, result.consensus, spans), f"{args.out}/views")
     if not args.skip_report:
         tables = result.statistics | ({"validation": result.validation} if result.validation is not None else {})
         spark.createDataFrame([(render.report(tables),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.out}/report")

@@ -30,6 +30,26 @@ def lines(consensus: DataFrame, first: int, last: int, plain: str = "#999999") -
     return shown.select(*KEY, F.floor((F.col("position") - first) / F.col("resolution")).alias("bin"), F.when(F.col("color") == "", plain).otherwise(F.col("color")).alias("color"))
 
 
+def views(contacts: DataFrame, domains: DataFrame, consensus: DataFrame, spans: dict[str, tuple[int, int]]) -> dict[str, DataFrame]:
+    """Tables of a comparison of callers, and of the consensus, for a view of each chromosome in ``spans`` (chrom -> first and past bp): cells, triangles, lines."""
+    if not spans:
+        raise ValueError("no views")
+    out: dict[str, DataFrame] = {}
+    for chrom, (first, past) in spans.items():
+        own = lambda df: df.filter(F.col("chrom") == chrom)  # noqa: B023, E731
+        parts = {"cells": heat_cells(own(contacts), first, past), "triangles": triangles(own(domains), first, past), "lines": lines(own(consensus), first, past)}
+        for name, df in parts.items():
+            df = df.withColumn("first", F.lit(first).cast("long"))
+            out[name] = out[name].unionByName(df) if name in out else df
+    return out
+
+
+def write_views(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table of views as Parquet, a folder for each resolution and chromosome."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").partitionBy("resolution", "chrom").parquet(f"{folder}/{name}")
+
+
 def _cell(x) -> str:
     if x is None or x != x:
         return "—"

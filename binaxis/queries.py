@@ -92,8 +92,8 @@ COLOR = "CASE support WHEN 2 THEN '#FFD700' WHEN 3 THEN '#FF8C00' WHEN 4 THEN '#
 
 
 def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contact table by bins; kept, as callers read it several times and queries share it."""
-    return S.binned(E.contacts(E.events(spark, sf_dir))).persist()
+    """The contact table by bins; a plan alone, whose equal shuffles Spark does once."""
+    return S.binned(E.contacts(E.events(spark, sf_dir)))
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -601,6 +601,13 @@ def penalty_sweep_choice(spark, sf_dir):
     return G.choose_penalty(G.sweep(S.observed_over_expected(c).join(S.n_bins(c), KEY), 4, LONGEST)).select("chrom", "ord", "penalty", "n_tads")
 
 
+@query("penalty_sweep_covers", f"WITH RECURSIVE {COVERS} SELECT chrom, ord, s, e FROM seg")
+def penalty_sweep_covers(spark, sf_dir):
+    """Every segment of every penalty's cover."""
+    c = binned(spark, sf_dir)
+    return G.sweep(S.observed_over_expected(c).join(S.n_bins(c), KEY), 4, LONGEST).select("chrom", "ord", "s", "e")
+
+
 @query("modularity_domains", f"""WITH RECURSIVE {COVERS} SELECT chrom, s * 25000 AS "start", e * 25000 AS "end" FROM seg JOIN chosen USING (chrom, ord) WHERE e - s >= 4""")
 def modularity_domains(spark, sf_dir):
     return G.flank_contrast_domains(binned(spark, sf_dir), 4, LONGEST, FARTHEST).select("chrom", "start", "end")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -18,10 +18,10 @@ def resolution_label(resolution: int) -> str:
 
 
 def read_triples(spark: SparkSession, path: str, chrom: str, resolution: int, repeats: str = "sum") -> DataFrame:
-    """Tab-separated (bin_i, bin_j, count) in bp. ``repeats``: what becomes of a pair given twice, ``sum`` or ``max``."""
-    raw = spark.read.schema("bin_i bigint, bin_j bigint, count double").option("sep", "\t").csv(path).filter("bin_i is not null and bin_j is not null")
+    """Tab-separated (bin_i, bin_j, count) in bp. ``repeats``: what becomes of a pair given twice, ``sum``, ``max``, or ``last`` (in the order of lines)."""
+    raw = spark.read.schema("bin_i bigint, bin_j bigint, count double").option("sep", "\t").csv(path).withColumn("_line", F.monotonically_increasing_id()).filter("bin_i is not null and bin_j is not null")
     lo, hi = F.least("bin_i", "bin_j"), F.greatest("bin_i", "bin_j")
-    agg = F.sum("count") if repeats == "sum" else F.max("count")
+    agg = {"sum": F.sum("count"), "max": F.max("count"), "last": F.max_by("count", "_line")}[repeats]
     return raw.groupBy(lo.alias("bin_i"), hi.alias("bin_j")).agg(agg.alias("count")).select(F.lit(chrom).alias("chrom"), F.lit(resolution).alias("resolution"), "bin_i", "bin_j", "count")
 
 
@@ -36,10 +36,18 @@ def write_triples(contacts: DataFrame, path: str) -> None:
     contacts.filter("bin_i <= bin_j and count > 0").select("bin_i", "bin_j", "count").write.mode("overwrite").option("sep", "\t").csv(path)
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(r, line): the lines of one file that are not blank, numbered from 0. Splits follow one another, so a line's number is its place in its split after all lines of splits before."""
+    lines = spark.read.text(path).filter("trim(value) <> ''").withColumn("_id", F.monotonically_increasing_id())
+    lines = lines.select(F.col("value").alias("line"), F.shiftright("_id", 33).alias("_split"), (F.col("_id") % F.lit(1 << 33)).alias("_at"))
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    base = lines.groupBy("_split").agg(F.count(F.lit(1)).alias("_n")).select("_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(F.broadcast(base), "_split").select((F.col("_before") + F.col("_at")).alias("r"), "line")
+
+
 def read_dense(spark: SparkSession, path: str, chrom: str, resolution: int) -> DataFrame:
-    """A (gzipped) matrix, one tab-separated row a line; keeps positive cells of the upper triangle, checks the shape."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("r", "line"))
-    rows = lines.select("r", F.split(F.trim("line"), r"\s+").alias("cells"))
+    """A (gzipped) matrix, one tab-separated row a line; keeps positive cells of the upper triangle, checks the shape. A file that can be split is read in splits."""
+    rows = _numbered_lines(spark, path).select("r", F.split(F.trim("line"), r"\s+").alias("cells"))
     shape = rows.agg(F.count(F.lit(1)), F.min(F.size("cells")), F.max(F.size("cells"))).first()
     if not shape[0] == shape[1] == shape[2]:
         raise ValueError(f"{path}: {shape[0]} rows of {shape[1]} to {shape[2]} columns")
@@ -73,6 +81,12 @@ def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame | None:
         return None
 
 
+def read_through(spark: SparkSession, path: str, readers) -> DataFrame:
+    """The table of contacts at ``path``; where it is not there yet, the first of ``readers`` that gives one is written there and read back."""
+    have = read_table(spark, path, schema.CONTACTS)
+    return have if have is not None else prepare(first_of(spark, readers).select(*(c.split()[0] for c in schema.CONTACTS.split(", "))), path)
+
+
 def first_of(spark: SparkSession, readers) -> DataFrame:
     """The first source that is there: each of ``readers`` gives a frame, None, or fails to find its path."""
     for read in readers:
@@ -145,6 +159,16 @@ def read_hierarchy_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.dropna()
 
 
+def read_hierarchy_tree(spark: SparkSession, glob: str, pattern: str = r"(chr[0-9A-Za-z]+)_(\d+)(kb|bp)_p([0-9.]*[0-9])") -> DataFrame:
+    """(chrom, resolution, penalty, HIERARCHY) of all files under a glob; chromosome, resolution and penalty come from the file names."""
+    lines = spark.read.text(glob).select(F.trim("value").alias("line"), F.input_file_name().alias("_file")).filter("line <> '' and not startswith(line, '#')")
+    part = lambda k: F.regexp_extract("_file", pattern, k)
+    unit = F.when(part(3) == "kb", 1000).otherwise(1)
+    named = lines.select(part(1).alias("chrom"), (part(2).cast("int") * unit).alias("resolution"), part(4).try_cast("double").alias("penalty"), F.split("line", r"\s+").alias("f"))
+    names = [c.split() for c in schema.HIERARCHY.split(", ")]
+    return named.select("chrom", "resolution", "penalty", *(_field(k, kind).alias(name) for k, (name, kind) in enumerate(names))).dropna()
+
+
 def inclusive_text(domains: DataFrame) -> DataFrame:
     """chrom, start, last bp: the text form in which ends are included."""
     return domains.select("chrom", "start", (F.col("end") - 1).alias("end"))
