@@ -36,8 +36,10 @@ def random_starts(n: DataFrame, permutations: int, seed: int = 42, exact: bool =
     ``n`` has (keys, n, length, size). The generator is integer arithmetic that any SQL engine repeats; ``exact`` draws with
     NumPy's default generator instead, seeded with seed + permutation. Without room or windows there are no starts.
     """
-    each = n.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     keys = [c for c in n.columns if c not in ("n", "length", "size")]
+    each = n.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    # few small rows, each of which draws many windows: dealt to as many tasks as a shuffle has, which adaptive plans would merge
+    each = each.repartition(int(n.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "perm")
     room = each.filter("n > 0 and size > length")
     if exact:
         def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +50,7 @@ def random_starts(n: DataFrame, permutations: int, seed: int = 42, exact: bool =
                     yield part[[*keys, "perm", "length"]].assign(starts=starts)
 
         kinds = dict(n.dtypes)
-        return room.repartition(*keys, "perm").mapInPandas(draw, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "perm int, length long, starts array<long>"]))
+        return room.mapInPandas(draw, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "perm int, length long, starts array<long>"]))
 
     def start(k):
         x = ((F.col("perm") + seed) * F.lit(1103515245).cast("long") + k * 214013 + 2531011) % F.lit(1 << 31)
@@ -91,7 +93,7 @@ def hit_counts(drawn: DataFrame, peaks: DataFrame, width: int, keys: list[str])
     the index of peaks at two places, and neither pairs of windows and peaks nor a distinct are made.
     """
     index = peak_index(peaks, width)
-    starts = F.array_sort("starts")
+    starts = F.sort_array("starts")
     ends_of = lambda a: F.concat(F.array(F.lit(None).cast("long")), F.transform(a, lambda x: x + F.col("length")))
     gaps = F.arrays_zip(ends_of(starts).alias("a"), F.concat(starts, F.array(F.lit(None).cast("long"))).alias("b"))
     each = drawn.select(*keys, F.explode(gaps).alias("g")).select(*keys, F.col("g")["a"].alias("a"), F.col("g")["b"].alias("b")).filter("a is null or b is null or b >= a")

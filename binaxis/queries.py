@@ -92,8 +92,8 @@ COLOR = "CASE support WHEN 2 THEN '#FFD700' WHEN 3 THEN '#FF8C00' WHEN 4 THEN '#
 
 
 def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contact table by bins; a plan alone, whose equal shuffles Spark does once."""
-    return S.binned(E.contacts(E.events(spark, sf_dir)))
+    """The contact table by bins, kept in memory or on disk: equal plans are one entry of Spark's cache, so queries over one folder share it."""
+    return S.binned(E.contacts(E.events(spark, sf_dir))).persist()
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
