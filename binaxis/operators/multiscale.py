@@ -32,7 +32,7 @@ def qualities(sums: np.ndarray, gamma: float, least_windows: int) -> np.ndarray:
         windows = n - d + 1
         if windows >= least_windows:
             s = sums[d, :windows] / float(d) ** gamma
-            s = s - s.mean()
+            s = np.round(s - s.mean(), 9)  # so that no choice hangs on the order of sums
             out[d, :windows] = np.where(s > 0, s, -np.inf)
     return out
 
@@ -186,7 +186,7 @@ def choose_gamma(stable: DataFrame, sizes: DataFrame) -> DataFrame:
     mb = F.col("size") / 1e6
     lo, hi = F.greatest(F.lit(FLOORS[0]), F.floor(mb * PER_MB[0])), F.greatest(F.lit(FLOORS[1]), F.floor(mb * PER_MB[1]))
     rows = stable.join(sizes.select("chrom", "size"), "chrom").withColumn("_on", F.col("n_tads").between(lo, hi)).withColumn("_away", F.abs(F.col("n_tads") - (lo + hi) / 2))
-    best = Window.partitionBy(*KEY).orderBy(F.desc("_on"), F.when(F.col("_on"), -F.col("stability")).otherwise(F.col("_away")), "gamma")
+    best = Window.partitionBy(*KEY).orderBy(F.desc("_on"), F.when(F.col("_on"), -F.round("stability", 9)).otherwise(F.col("_away")), "gamma")
     return rows.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*KEY, "gamma")
 
 

@@ -558,7 +558,54 @@ def hierarchy_selection(spark, sf_dir):
     return H.selected(E.hierarchy(E.events(spark, sf_dir)), ["algorithm", "chrom"], 3, 20, 60)
 
 
-@query("armatus_domains")
+#: Best domain sets of each step of gamma: qualities of windows, dynamic programming over last bins, the way back.
+SETS = f"""{BINNED}, grid AS (SELECT chrom, n, bin AS j, unnest(range(bin + 1)) AS i FROM bins),
+col AS (SELECT g.chrom, g.n, g.i, g.j, sum(coalesce(ln(v), 0)) OVER (PARTITION BY g.chrom, g.j ORDER BY g.i DESC) AS s FROM grid g LEFT JOIN c ON c.chrom = g.chrom AND c.i = g.i AND c.j = g.j),
+sums AS (SELECT chrom, n, i AS a, j + 1 AS b, sum(s) OVER (PARTITION BY chrom, i ORDER BY j) AS s FROM col),
+steps AS (SELECT k, round(k * 0.05::DOUBLE, 10) AS g FROM (SELECT unnest(range(41)) AS k)),
+per AS (SELECT chrom, n, k, a, b, s / pow((b - a)::DOUBLE, g) AS x FROM sums, steps WHERE b - a >= 2 AND n - (b - a) + 1 >= 30),
+good AS MATERIALIZED (SELECT chrom, k, a, b, round(x - avg(x) OVER (PARTITION BY chrom, k, b - a), 9) AS q FROM per),
+ends AS MATERIALIZED (SELECT chrom, k, b AS l, min(a) AS first, list(CASE WHEN q > 0 THEN q ELSE '-inf'::DOUBLE END ORDER BY a) AS qs FROM good GROUP BY ALL),
+dp AS (SELECT chrom, n, k, 1::BIGINT AS l, [0.0::DOUBLE, 0.0] AS whole, [0.0::DOUBLE, 0.0] AS inside, [0::BIGINT, 0] AS came, [-1::BIGINT, -1] AS gap, 0.0::DOUBLE AS far, 0::BIGINT AS far_at FROM nb, steps
+  UNION ALL SELECT chrom, n, k, l, list_append(whole, CASE WHEN far > best THEN far ELSE best END), list_append(inside, best), list_append(came, coalesce(first + list_position(ways, best) - 1, 0)),
+    list_append(gap, CASE WHEN far > best THEN far_at ELSE -1 END), far, far_at
+  FROM (SELECT *, coalesce(list_max(ways), '-inf'::DOUBLE) AS best FROM (SELECT d.chrom, d.n, d.k, d.l + 1 AS l, whole, inside, came, gap, first, list_transform(qs, lambda q, i: d.whole[first + i] + q) AS ways,
+      CASE WHEN d.inside[d.l] > d.far THEN d.inside[d.l] ELSE d.far END AS far, CASE WHEN d.inside[d.l] > d.far THEN d.l - 1 ELSE d.far_at END AS far_at
+    FROM dp d LEFT JOIN ends e ON e.chrom = d.chrom AND e.k = d.k AND e.l = d.l + 1 WHERE d.l < d.n))),
+node AS MATERIALIZED (SELECT chrom, k, unnest(range(n + 1)) AS l, unnest(inside) AS inside, unnest(came) AS came, unnest(gap) AS gap FROM dp WHERE l = n),
+walk AS (SELECT chrom, k, n AS l FROM nb, steps UNION ALL SELECT w.chrom, w.k, CASE WHEN gap >= 0 THEN gap ELSE came END FROM walk w JOIN node m ON m.chrom = w.chrom AND m.k = w.k AND m.l = w.l WHERE w.l > 1),
+sets AS (SELECT chrom, k, came AS "first", l - 1 AS "last" FROM walk JOIN node USING (chrom, k, l) WHERE l > 1 AND gap < 0 AND inside > '-inf'::DOUBLE)"""
+#: Domains of each configured gamma: those of all steps up to it, scheduled by how many steps have them.
+GAMMA_DOMAINS = f"""{SETS}, tops AS (SELECT unnest([{", ".join(f"{g}::DOUBLE" for g in Config().gammas)}]) AS top),
+pers AS (SELECT chrom, top, "first", "last", count(*) AS w FROM sets JOIN steps USING (k) JOIN tops ON top + 1e-5 >= g GROUP BY ALL),
+iv AS (SELECT *, row_number() OVER (PARTITION BY chrom, top ORDER BY "last", "first") AS rn FROM pers),
+pv AS (SELECT *, (SELECT count(*) FROM iv x WHERE x.chrom = iv.chrom AND x.top = iv.top AND x."last" < iv."first") AS p FROM iv),
+sch AS (SELECT chrom, top, 0::BIGINT AS rn, [0::BIGINT] AS best, [0::BIGINT] AS back FROM (SELECT DISTINCT chrom, top FROM pv)
+  UNION ALL SELECT s.chrom, s.top, v.rn, list_append(s.best, greatest(s.best[v.rn], v.w + s.best[v.p + 1])), list_append(s.back, CASE WHEN v.w + s.best[v.p + 1] > s.best[v.rn] THEN v.p ELSE -1 END)
+  FROM sch s JOIN pv v ON v.chrom = s.chrom AND v.top = s.top AND v.rn = s.rn + 1),
+back AS (SELECT chrom, top, rn, back FROM sch s WHERE rn = (SELECT max(rn) FROM pv v WHERE v.chrom = s.chrom AND v.top = s.top)
+  UNION ALL SELECT chrom, top, CASE WHEN back[rn + 1] >= 0 THEN back[rn + 1] ELSE rn - 1 END, back FROM back WHERE rn > 0),
+kept AS (SELECT b.chrom, b.top, "first", "last" FROM back b JOIN pv v ON v.chrom = b.chrom AND v.top = b.top AND v.rn = b.rn WHERE b.back[b.rn + 1] >= 0),
+num AS (SELECT c.chrom, t.top, coalesce(k, 0) AS n FROM (SELECT DISTINCT chrom FROM kept) c CROSS JOIN (SELECT DISTINCT top FROM kept) t LEFT JOIN (SELECT chrom, top, count(*) AS k FROM kept GROUP BY ALL) m ON m.chrom = c.chrom AND m.top = t.top),
+sh AS (SELECT x.chrom, x.top AS a, y.top AS b, count(*) AS k FROM kept x JOIN kept y USING (chrom, "first", "last") GROUP BY ALL),
+stab AS (SELECT x.chrom, x.top, any_value(x.n) AS n, round(coalesce(avg(CASE WHEN x.n + y.n > 0 THEN coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)) ELSE 0 END), 0), 9) AS stability
+  FROM num x LEFT JOIN num y ON y.chrom = x.chrom AND y.top <> x.top LEFT JOIN sh ON sh.chrom = x.chrom AND sh.a = x.top AND sh.b = y.top GROUP BY x.chrom, x.top),
+aim AS (SELECT s.*, greatest(10, floor(nb.n * 0.025::DOUBLE * 0.8)) AS lo, greatest(50, floor(nb.n * 0.025::DOUBLE * 2.5)) AS hi FROM stab s JOIN nb USING (chrom)),
+pick AS (SELECT chrom, top FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY n BETWEEN lo AND hi DESC, CASE WHEN n BETWEEN lo AND hi THEN -stability ELSE abs(n - (lo + hi) / 2) END, top) AS r FROM aim) WHERE r = 1)"""
+
+
+@query("armatus_best_sets", f"""WITH RECURSIVE {SETS} SELECT chrom, g AS gamma, "first", "last" FROM sets JOIN steps USING (k)""")
+def armatus_best_sets(spark, sf_dir):
+    """The best domain set of each step of gamma."""
+    return X.domain_sets(binned(spark, sf_dir), X.gammas_up_to(2.0), 30).select("chrom", "gamma", "first", "last")
+
+
+@query("armatus_gamma_domains", f"""WITH RECURSIVE {GAMMA_DOMAINS} SELECT chrom, top AS gamma, "first" * 25000 AS "start", ("last" + 1) * 25000 AS "end" FROM kept""")
+def armatus_gamma_domains(spark, sf_dir):
+    return X.gamma_domains(binned(spark, sf_dir), list(Config().gammas), 30).select("chrom", "gamma", "start", "end")
+
+
+@query("armatus_domains", f"""WITH RECURSIVE {GAMMA_DOMAINS} SELECT chrom, "first" * 25000 AS "start", ("last" + 1) * 25000 AS "end" FROM kept JOIN pick USING (chrom, top)""")
 def armatus_domains(spark, sf_dir):
     c = binned(spark, sf_dir)
     sizes = S.n_bins(c).select("chrom", (F.col("n") * E.CONTACT_RES).alias("size"))
@@ -575,7 +622,7 @@ COVERS = f"""{BINNED}, ex AS (SELECT chrom, j - i AS d, avg(v) AS m FROM c WHERE
 oe AS (SELECT c.chrom, i, j, v / m AS x FROM c JOIN ex ON c.chrom = ex.chrom AND c.j - c.i = ex.d),
 grid AS (SELECT chrom, n, bin AS j, unnest(range(bin + 1)) AS i FROM bins),
 col AS (SELECT g.chrom, g.n, g.i, g.j, sum(coalesce(x, 0)) OVER (PARTITION BY g.chrom, g.j ORDER BY g.i DESC) AS s FROM grid g LEFT JOIN oe ON oe.chrom = g.chrom AND oe.i = g.i AND oe.j = g.j),
-sums AS (SELECT chrom, n, i AS a, j + 1 AS b, sum(s) OVER (PARTITION BY chrom, i ORDER BY j) AS t FROM col UNION ALL SELECT chrom, n, bin, bin, 0 FROM bins UNION ALL SELECT chrom, n, n, n, 0 FROM nb),
+sums AS MATERIALIZED (SELECT chrom, n, i AS a, j + 1 AS b, sum(s) OVER (PARTITION BY chrom, i ORDER BY j) AS t FROM col UNION ALL SELECT chrom, n, bin, bin, 0 FROM bins UNION ALL SELECT chrom, n, n, n, 0 FROM nb),
 diag AS (SELECT bins.chrom, bin + 1 AS b, sum(coalesce(x, 0)) OVER (PARTITION BY bins.chrom ORDER BY bin) AS t FROM bins LEFT JOIN oe ON oe.chrom = bins.chrom AND oe.i = bin AND oe.j = bin UNION ALL SELECT chrom, 0, 0 FROM nb),
 fl AS (SELECT chrom, n, a, b, t AS own, b - a AS d, greatest(0, 2 * a - b) AS lo, least(n, 2 * b - a) AS hi FROM sums WHERE b - a BETWEEN 4 AND {LONGEST}),
 sc AS (SELECT f.chrom, f.n, f.a, f.b, round((2 * own - (y.t - x.t)) / (f.d * f.d) - ((lb.t - la.t - own) + (ah.t - own - bh.t)) / nullif(f.d * ((f.a - lo) + (hi - f.b)), 0), 9) AS score,
@@ -583,7 +630,7 @@ sc AS (SELECT f.chrom, f.n, f.a, f.b, round((2 * own - (y.t - x.t)) / (f.d * f.d
   FROM fl f JOIN diag x ON x.chrom = f.chrom AND x.b = f.a JOIN diag y ON y.chrom = f.chrom AND y.b = f.b
   JOIN sums lb ON lb.chrom = f.chrom AND lb.a = lo AND lb.b = f.b JOIN sums la ON la.chrom = f.chrom AND la.a = lo AND la.b = f.a
   JOIN sums ah ON ah.chrom = f.chrom AND ah.a = f.a AND ah.b = hi JOIN sums bh ON bh.chrom = f.chrom AND bh.a = f.b AND bh.b = hi),
-ends AS (SELECT chrom, n, b, min(a) AS first, list(coalesce(score, alone) ORDER BY a) AS scores FROM sc GROUP BY ALL),
+ends AS MATERIALIZED (SELECT chrom, n, b, min(a) AS first, list(coalesce(score, alone) ORDER BY a) AS scores FROM sc GROUP BY ALL),
 pen AS (SELECT unnest(range({len(G.PENALTIES)}))::INT AS ord, unnest([{", ".join(f"{p}::DOUBLE" for p in G.PENALTIES)}]) AS penalty),
 dp AS (SELECT chrom, n, ord, penalty, 0::BIGINT AS b, [0.0::DOUBLE] AS best, [-1::BIGINT] AS back FROM nb, pen
   UNION ALL SELECT chrom, n, ord, penalty, b, list_append(best, coalesce(list_max(ways), '-inf'::DOUBLE)),
