@@ -187,7 +187,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int =
 
 
 def mix_report(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int = 17) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of ``docs``."""
+    """(doc_id, size, source_size, target, taken) of every row of ``docs``; a null, empty or blank text has size 0 and takes 0. See ``mix``."""
     m = mix(docs, weights, most, seed)
     taken = m.pieces().groupBy("source_no", "place").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     sized = m.placed.filter("size > 0").join(taken, ["source_no", "place"], "left").select("doc_id", "source_no", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

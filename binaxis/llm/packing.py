@@ -194,7 +194,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers=TIERS, waiting_ids
     filled exactly: a whole tier, or, for the last ids of a task, a smaller power of two. So nothing is padded.
     ``step_group`` gathers windows of about ``step_ids`` ids in all, with even shares of the tiers.
 
-    A null text counts as empty and gives one piece, the end id. Rows that repeat a doc_id are packed
+    A null or empty text gives one piece, the end id; a very long one is encoded in stretches, and its whole longest windows come out as
+    they are. Of equal lengths the last document goes first. Rows that repeat a doc_id are packed
     each for itself; a null doc_id stays null. An empty table gives no rows.
     """
     path = tokenizer or tokenizer_path()

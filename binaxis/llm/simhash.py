@@ -218,7 +218,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, budget: int = BUDGET) -> Data
 
     A null or wordless text has fingerprint zero and links like any other. Rows that repeat a doc_id
     are rows of their own; null doc_ids count only where a component has no other, whose component_id is then null.
-    An empty table gives no rows.
+    A text of any length is hashed whole. An empty table gives no rows; other columns are not read.
     """
     marked = cut(fingerprints(docs, k), "prints")
     nodes = marked.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))

@@ -159,7 +159,7 @@ def _runs(span: int, seed: int, filters):
 
 
 def _extend(span: int, held_windows: int = 1 << 21):
-    """Under each anchor, windows to both sides of the seed that start earlier elsewhere; tells the words that they cover."""
+    """Under each anchor, windows to both sides of the seed whose hash starts earlier elsewhere; tells the words that they cover."""
 
     def covered(rows: list[tuple]) -> pa.RecordBatch:
         anchor, ids, keys, first = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
@@ -222,13 +222,13 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_words(docs: DataFrame, span: int = SPAN, seed: int = SEED_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, repeats) of every row: its text without repeats that start earlier elsewhere.
 
-    Documents join on winnowed seeds of ``seed`` words; a match is extended to both sides of its seed,
-    a window of ``span`` words at a time, and ``repeats`` are the maximal stretches of such windows.
+    Documents join on winnowed seeds of ``seed`` words. Under a seed the windows of ``span`` words to both sides of it are told
+    equal by their hashes, and ``repeats`` are the maximal stretches of windows that start earlier elsewhere.
     Windows are judged on the input. Earlier means a smaller doc_id, or an earlier start in the same document.
     Equal stretches under one seed are merged in each task before they shuffle, so a passage copied into
     any number of documents sends one row a task; windows under a seed of more than HOT_PLACES places go one by one.
 
-    A null text has no words. Rows that repeat one doc_id and text count as one document and share its
+    A null, empty or blank text has no words; a very long one is taken in blocks that overlap. An empty table gives no rows; other columns are not read. Rows that repeat one doc_id and text count as one document and share its
     result; rows of one doc_id with different texts are ordered by a hash of the text. A null doc_id comes before all others.
     """
     found = with_spans(documents(docs), repeated_words(docs, span, seed))

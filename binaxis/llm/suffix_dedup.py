@@ -336,8 +336,8 @@ def drop_repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM) ->
     shuffle and are repeats outright, so a text copied any number of times sends one run a task. Windows under an anchor of more than
     HOT_PLACES places go one by one, so that no task must hold all that surrounds a frequent phrase.
 
-    A null text is empty. Rows that repeat one doc_id and text count as one document and share
-    its result. ``kept`` is binary: a cut may fall inside a character.
+    A null text is empty; a very long one is taken in blocks that overlap. An empty table gives no rows; other columns are not read. Rows that
+    repeat one doc_id and text count as one document and share its result; a null doc_id is a doc_id of its own. ``kept`` is binary: a cut may fall inside a character.
     """
     found = with_spans(documents(docs), repeated_bytes(docs, span, gram))
     return found.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<first long, past long>>")
