@@ -612,7 +612,24 @@ def armatus_domains(spark, sf_dir):
     return X.multiscale_domains(c, sizes, list(Config().gammas), 30).select("chrom", "start", "end")
 
 
-@query("armatus_top_sets")
+#: The three best sets: each state holds up to three (less the score, place, windows), so that sorting puts the best, and of equals the first, in front.
+BEST = lambda x: f"list_sort(list_transform({x}, lambda y, i: {{'k': y.k, 'i': i, 'w': y.w}}))[1:3]"
+TOP_SETS = f"""{BINNED}, grid AS (SELECT chrom, n, bin AS j, unnest(range(bin + 1)) AS i FROM bins),
+col AS (SELECT g.chrom, g.n, g.i, g.j, sum(coalesce(ln(v), 0)) OVER (PARTITION BY g.chrom, g.j ORDER BY g.i DESC) AS s FROM grid g LEFT JOIN c ON c.chrom = g.chrom AND c.i = g.i AND c.j = g.j),
+sums AS (SELECT chrom, n, i AS a, j + 1 AS b, sum(s) OVER (PARTITION BY chrom, i ORDER BY j) AS s FROM col),
+per AS (SELECT chrom, n, a, b, s / pow((b - a)::DOUBLE, 0.5::DOUBLE) AS x FROM sums WHERE b - a >= 2 AND n - (b - a) + 1 >= 10),
+good AS (SELECT chrom, a, b, round(x - avg(x) OVER (PARTITION BY chrom, b - a), 9) AS q FROM per),
+ends AS MATERIALIZED (SELECT chrom, b AS l, list({{'a': a, 'q': q}} ORDER BY a DESC) AS own FROM good WHERE q > 0 GROUP BY ALL),
+dp AS (SELECT chrom, n, 1::BIGINT AS l, [none, none] AS whole, [none, []] AS inside, none[1:0] AS far FROM nb, (SELECT [{{'k': -0.0::DOUBLE, 'i': 1::BIGINT, 'w': ''}}] AS none)
+  UNION ALL SELECT chrom, n, l, list_append(whole, {BEST("list_concat(list_concat(best, far), whole[1])")}), list_append(inside, best), far
+  FROM (SELECT *, {BEST("coalesce(ways, whole[1][1:0])")} AS best FROM (SELECT d.chrom, d.n, d.l + 1 AS l, whole, inside, CASE WHEN d.l > 1 THEN {BEST("list_concat(d.far, d.inside[d.l])")} ELSE far END AS far,
+      flatten(list_transform(e.own, lambda o: list_transform(d.whole[o.a + 1], lambda x: {{'k': x.k - o.q, 'i': 1::BIGINT, 'w': x.w || o.a || '-' || d.l || ';'}}))) AS ways
+    FROM dp d LEFT JOIN ends e ON e.chrom = d.chrom AND e.l = d.l + 1 WHERE d.l < d.n))),
+found AS (SELECT chrom, unnest(whole[n + 1]) AS r, unnest(range(len(whole[n + 1]))) AS place, whole[n + 1][1].k AS most FROM dp WHERE l = n)"""
+
+
+@query("armatus_top_sets", f"""WITH RECURSIVE {TOP_SETS} SELECT chrom, 0.5::DOUBLE AS gamma, place::INT AS rank, round(CASE WHEN most <> 0 THEN r.k / most ELSE 1 END, 6) AS weight, split_part(w, '-', 1)::BIGINT AS "first", split_part(w, '-', 2)::BIGINT AS "last"
+  FROM (SELECT *, unnest(string_split(rtrim(r.w, ';'), ';')) AS w FROM found WHERE r.w <> '')""")
 def armatus_top_sets(spark, sf_dir):
     return X.domain_sets(binned(spark, sf_dir), [0.5], 10, k=3).select("chrom", "gamma", "rank", r6("weight"), "first", "last")
 
