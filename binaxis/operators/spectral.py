@@ -71,7 +71,7 @@ def least_squares_cut(costs: Costs, penalty: float, least: int) -> list[int]:
     best[0] = 0.0
     for b in range(least, n + 1):
         a = np.arange(0, b - least + 1)
-        total = best[a] + costs.to(b, a) + penalty
+        total = best[a] + np.round(costs.to(b, a), 9) + penalty  # so that no choice hangs on the order of sums
         k = int(np.argmin(total))
         best[b], back[b] = total[k], k
     out, b = [], n

@@ -687,7 +687,23 @@ def scktld_domains(spark, sf_dir):
     return P.spectral_domains(binned(spark, sf_dir)).select("chrom", "start", "end")
 
 
-@query("embedding_segments")
+#: Penalty of a segment of embeddings (unit vectors without order gain about one by each), least vectors of it, vectors of a stretch.
+SEGMENT, LEAST, STRETCH = 1.15, 3, 500
+
+
+@query("embedding_segments", f"""WITH RECURSIVE v AS (SELECT vec_id, vec_id // {STRETCH} AS stretch, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY vec_id // {STRETCH} ORDER BY vec_id) AS b FROM embeddings),
+  each AS (SELECT stretch, b, unnest(x) AS x, unnest(range(len(x))) AS d FROM v),
+  pre AS (SELECT stretch, b, list(s ORDER BY d) AS p, sum(q) AS q FROM (SELECT stretch, b, d, sum(x) OVER o AS s, sum(x * x) OVER o AS q FROM each WINDOW o AS (PARTITION BY stretch, d ORDER BY b)) GROUP BY ALL
+    UNION ALL SELECT stretch, 0, list_transform(any_value(x), lambda y: 0.0::DOUBLE), 0 FROM v GROUP BY stretch),
+  ends AS MATERIALIZED (SELECT y.stretch, y.b, list(round(y.q - x.q - greatest(list_dot_product(y.p, y.p) + list_dot_product(x.p, x.p) - 2 * list_dot_product(x.p, y.p), 0) / (y.b - x.b), 9) ORDER BY x.b) AS costs
+    FROM pre y JOIN pre x ON x.stretch = y.stretch AND x.b <= y.b - {LEAST} GROUP BY ALL),
+  nn AS (SELECT stretch, max(b) AS n FROM v GROUP BY stretch),
+  dp AS (SELECT stretch, n, 0::BIGINT AS b, [0.0::DOUBLE] AS best, [0::BIGINT] AS back FROM nn
+    UNION ALL SELECT stretch, n, b, list_append(best, coalesce(list_min(ways), 'inf'::DOUBLE)), list_append(back, coalesce(list_position(ways, list_min(ways)) - 1, 0))
+    FROM (SELECT d.stretch, d.n, d.b + 1 AS b, best, back, list_transform(costs, lambda c, i: d.best[i] + c + {SEGMENT}::DOUBLE) AS ways FROM dp d LEFT JOIN ends e ON e.stretch = d.stretch AND e.b = d.b + 1 WHERE d.b < d.n)),
+  last AS MATERIALIZED (SELECT stretch, n, back FROM dp WHERE b = n),
+  seg AS (SELECT stretch, back[n + 1] AS s, n AS e FROM last UNION ALL SELECT stretch, back[s + 1], s FROM seg JOIN last USING (stretch) WHERE s > 0)
+  SELECT stretch, s, e FROM seg""")
 def embedding_segments(spark, sf_dir):
     """Least-squares segments of the embedding table along vec_id, in stretches of 500."""
     import pandas as pd
@@ -696,10 +712,10 @@ def embedding_segments(spark, sf_dir):
         import numpy as np
 
         rows = np.stack(pdf.sort_values("vec_id")["embedding"].to_list()).astype(float)
-        ends = P.least_squares_cut(P.Costs(rows), 2.0, 3)
+        ends = P.least_squares_cut(P.Costs(rows), SEGMENT, LEAST)
         return pd.DataFrame({"stretch": int(pdf["stretch"].iloc[0]), "s": [0, *ends[:-1]], "e": ends})
 
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.expr("vec_id div 500").alias("stretch"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.expr(f"vec_id div {STRETCH}").alias("stretch"))
     return vectors.groupBy("stretch").applyInPandas(run, "stretch long, s long, e long")
 
 
