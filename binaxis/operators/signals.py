@@ -157,14 +157,16 @@ def distance_masked(contacts: DataFrame, most_bins: int) -> DataFrame:
 def size_means(c: DataFrame, gammas: list[float], least: int = 100) -> DataFrame:
     """(chrom, resolution, gamma, d, n, mu): mean of sums of contacts inside windows of d > 1 bins over d ** gamma; null under ``least`` windows.
 
-    Inner sums are sums of column sums: two cumulative windows over the filled-in upper triangle.
+    The number of windows of d bins that hold a contact grows by one with each d from its own length on, until windows that start at
+    the first bin, and then those that end at the last, are used up. So a contact turns the sum of a size at three sizes, and two running
+    sums over sizes give all of them: rows grow with contacts and bins, not with pairs of bins.
     """
-    grid = n_bins(c).select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    grid = grid.select(*KEY, "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j"))).alias("i"))
-    filled = grid.join(c.select(*KEY, "i", "j", "v"), [*KEY, "i", "j"], "left").fillna(0.0, ["v"])
-    column = F.sum("v").over(Window.partitionBy(*KEY, "j").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0))
-    inner = F.sum("_col").over(Window.partitionBy(*KEY, "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0))
-    sums = filled.withColumn("_col", column).withColumn("s", inner).filter("j > i").withColumn("d", F.col("j") - F.col("i") + 1)
-    totals = sums.groupBy(*KEY, "d").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("_mean"))
+    n = n_bins(c)
+    turns = F.array(F.struct((F.col("j") - F.col("i") + 1).alias("d"), F.col("v").alias("by")), F.struct((F.col("j") + 2).alias("d"), (-F.col("v")).alias("by")), F.struct((F.col("n") - F.col("i") + 1).alias("d"), (-F.col("v")).alias("by")))
+    turned = c.join(n, KEY).select(*KEY, F.inline(turns)).groupBy(*KEY, "d").agg(F.sum("by").alias("_by"))
+    sizes = n.select(*KEY, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("d"))
+    upto = Window.partitionBy(*KEY).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sizes.join(turned, [*KEY, "d"], "left").withColumn("_step", F.sum(F.coalesce("_by", F.lit(0.0))).over(upto)).withColumn("_sum", F.sum("_step").over(upto))
+    totals = sums.filter("d > 1").withColumn("n", F.col("n") - F.col("d") + 1).select(*KEY, "d", "n", (F.col("_sum") / F.col("n")).alias("_mean"))
     each = totals.withColumn("gamma", F.explode(F.array(*map(F.lit, gammas))))
     return each.select(*KEY, "gamma", "d", "n", F.when(F.col("n") >= least, F.col("_mean") / F.pow(F.col("d"), F.col("gamma"))).alias("mu"))
