@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Seconds of a contact bin, and its width on the axis; width of a bin of domains; grid of their ends; length of a peak.
-CONTACT_SECONDS, CONTACT_RES, DOMAIN_RES, GRID, PEAK = 21600, 25000, 3600, 900, 900
+#: Seconds of a contact bin, and its width on the axis; width of a bin of domains; grid of their ends; length of a peak; seconds of a day.
+CONTACT_SECONDS, CONTACT_RES, DOMAIN_RES, GRID, PEAK, DAY = 21600, 25000, 3600, 900, 900, 86400
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,16 +26,28 @@ def contacts(ev: DataFrame) -> DataFrame:
 
 
 def sessions(ev: DataFrame, factor: int) -> DataFrame:
-    """(algorithm, chrom, start, end): events whose gaps are at most ``factor`` mean gaps, snapped outward to the grid. ``ev`` has ``algorithm``."""
+    """(algorithm, chrom, start, end): events whose gaps are at most ``factor`` mean gaps, snapped outward to the grid. ``ev`` has ``algorithm``.
+
+    Events of one second are one moment, and each day of a key is cut for itself, after a row that carries the last moment before it;
+    so a task's window holds a day's seconds, whatever the number of events. Only what reaches over a day's edge, two pieces a day, is then merged along a key.
+    """
     key = ["algorithm", "chrom"]
-    own = Window.partitionBy(*key)
-    order = own.orderBy("t", "event_id")
-    gap = F.col("t") - F.lag("t").over(order)
-    span, n = F.max("t").over(own) - F.min("t").over(own), F.count(F.lit(1)).over(own)
-    marked = ev.withColumn("_new", F.when(gap * n > factor * span, 1).otherwise(0))
-    numbered = marked.withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start = (F.floor(F.min("t") / GRID) * GRID).cast("long")
-    return numbered.groupBy(*key, "_session").agg(start.alias("start"), ((F.floor(F.max("t") / GRID) + 1) * GRID).cast("long").alias("end")).drop("_session")
+    timed = ev.select(*key, F.floor(F.col("t") / DAY).alias("day"), "t")
+    whole = Window.partitionBy(*key)
+    days = timed.groupBy(*key, "day").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"))
+    before = days.select(*key, "day", F.lag("last").over(whole.orderBy("day")).alias("t"), F.sum("n").over(whole).alias("n"), (F.max("last").over(whole) - F.min("first").over(whole)).alias("span"))
+    own = Window.partitionBy(*key, "day")
+    along = own.orderBy(F.asc_nulls_first("t"), F.desc_nulls_last("span"))
+    gap = F.col("t") - F.lag("t").over(along)
+    rows = before.unionByName(timed.distinct(), allowMissingColumns=True)
+    marked = rows.withColumn("_new", F.when(gap * F.max("n").over(own) > factor * F.max("span").over(own), 1).otherwise(0))
+    numbered = marked.withColumn("_piece", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))).filter("span is null")
+    pieces = numbered.groupBy(*key, "day", "_piece").agg(F.min("t").alias("from"), F.max("t").alias("to"), F.max("_new").alias("_new"))
+    edged = pieces.withColumn("_edge", (F.col("_new") == 0) | (F.col("_piece") == F.max("_piece").over(own)))
+    joined = edged.filter("_edge").withColumn("_session", F.sum("_new").over(whole.orderBy("from").rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy(*key, "_session").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    found = edged.filter("not _edge").select(*key, "from", "to").unionByName(joined.select(*key, "from", "to"))
+    return found.select(*key, (F.floor(F.col("from") / GRID) * GRID).cast("long").alias("start"), ((F.floor(F.col("to") / GRID) + 1) * GRID).cast("long").alias("end"))
 
 
 def domains(ev: DataFrame, factor: int = 2) -> DataFrame:
