@@ -182,3 +182,22 @@ def test_hot_groups_change_nothing(docs, share, monkeypatch):
     wanted = [sorted(map(tuple, f(docs).collect())) for f in (exact_dedup.exact_groups, simhash.near_groups)]
     monkeypatch.setattr(common, "HOT_SHARE", share)
     assert [sorted(map(tuple, f(docs).collect())) for f in (exact_dedup.exact_groups, simhash.near_groups)] == wanted
+
+
+def test_components_with_hubs(spark):
+    """Nodes with most of all links, as the least node, the greatest and one between, are told apart from the others and meet nowhere."""
+    links = [(0, i) for i in range(10, 3000)] + [(9000, i) for i in range(4000, 6000)] + [(7000, i) for i in range(6500, 7500)]
+    links += [(20000 + i, 20001 + i) for i in range(0, 60, 2)] + [(2999, 9000), (5, 5), (8, None)]
+    got = {r["u"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b and b is not None:
+            lo, hi = sorted((root(a), root(b)))
+            parent[hi] = lo
+    assert got == {x: root(x) for x in parent}
