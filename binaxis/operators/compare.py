@@ -84,19 +84,21 @@ def pairwise_matrix(domains: DataFrame, measure: str = "jaccard", tolerance_bins
     return cells.unionByName(same).groupBy("algo_a", *KEY).pivot("algo_b", names).agg(F.first("value"))
 
 
-def reference_scores(domains: DataFrame, reference: DataFrame, tolerances: tuple[int, ...] = (1, 2), keys: DataFrame | None = None) -> DataFrame:
+def reference_scores(domains: DataFrame, reference: DataFrame, tolerances: tuple[int, ...] = (1, 2), keys: DataFrame | None = None, repeats: bool = False) -> DataFrame:
     """(algorithm, chrom, resolution, tol, recall, precision, f1, jaccard); null without reference boundaries, 0 without own ones.
 
-    ``reference`` has (chrom, resolution, start, end).
+    ``reference`` has (chrom, resolution, start, end). Domains are sets. ``repeats``: a domain listed several times counts in ``jaccard`` as a
+    left join of the two lists counts it, so shared ones are the pairs of equal domains and the measure may exceed 1.
     """
     keys = spine(domains) if keys is None else keys
     own, ref = boundaries(domains), boundaries(reference, *KEY)
     n_own = own.groupBy(*ALGO).agg(F.count(F.lit(1)).alias("n_own"))
     n_ref = ref.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_ref"))
-    doms, refs = domains.select(*ALGO, "start", "end").distinct(), reference.select(*KEY, "start", "end").distinct()
-    shared = doms.join(refs, [*KEY, "start", "end"]).groupBy(*ALGO).agg(F.count(F.lit(1)).alias("shared"))
-    sizes = doms.groupBy(*ALGO).agg(F.count(F.lit(1)).alias("d_own"))
-    ref_sizes = refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("d_ref"))
+    times = F.count(F.lit(1)) if repeats else F.max(F.lit(1))
+    doms, refs = domains.groupBy(*ALGO, "start", "end").agg(times.alias("_own")), reference.groupBy(*KEY, "start", "end").agg(times.alias("_ref"))
+    pairs = doms.join(refs, [*KEY, "start", "end"], "left")
+    sizes = pairs.groupBy(*ALGO).agg(F.sum(F.col("_own") * F.coalesce("_ref", F.lit(0))).alias("shared"), F.sum(F.col("_own") * F.coalesce("_ref", F.lit(1))).alias("d_own"))
+    ref_sizes = refs.groupBy(*KEY).agg(F.sum("_ref").alias("d_ref"))
     asked = keys.join(ref, KEY)
     out = None
     for tol in tolerances:
@@ -104,7 +106,7 @@ def reference_scores(domains: DataFrame, reference: DataFrame, tolerances: tuple
         back = near(asked, own, ALGO, tol).groupBy(*ALGO).agg(F.count(F.lit(1)).alias("hit_ref"))
         part = keys.join(found, ALGO, "left").join(back, ALGO, "left").withColumn("tol", F.lit(tol))
         out = part if out is None else out.unionByName(part)
-    out = out.join(n_own, ALGO, "left").join(n_ref, KEY, "left").join(shared, ALGO, "left").join(sizes, ALGO, "left").join(ref_sizes, KEY, "left")
+    out = out.join(n_own, ALGO, "left").join(n_ref, KEY, "left").join(sizes, ALGO, "left").join(ref_sizes, KEY, "left")
     out = out.fillna(0, ["hit_own", "hit_ref", "n_own", "n_ref", "shared", "d_own", "d_ref"])
     have = F.col("n_ref") > 0
     recall = F.col("hit_ref") / F.col("n_ref")
@@ -115,9 +117,9 @@ def reference_scores(domains: DataFrame, reference: DataFrame, tolerances: tuple
     return out.select(*ALGO, "tol", "recall", "precision", f1.alias("f1"), F.when(have, jaccard).alias("jaccard"))
 
 
-def reference_table(domains: DataFrame, reference: DataFrame, tolerances: tuple[int, ...] = (1, 2), keys: DataFrame | None = None) -> DataFrame:
+def reference_table(domains: DataFrame, reference: DataFrame, tolerances: tuple[int, ...] = (1, 2), keys: DataFrame | None = None, repeats: bool = False) -> DataFrame:
     """One row a key, with columns tol{t}bin_{metric}."""
-    long = reference_scores(domains, reference, tolerances, keys)
+    long = reference_scores(domains, reference, tolerances, keys, repeats)
     metrics = ("recall", "precision", "f1", "jaccard")
     return long.groupBy(*ALGO).agg(*(F.max(F.when(F.col("tol") == t, F.col(m))).alias(f"tol{t}bin_{m}") for t in tolerances for m in metrics))
 

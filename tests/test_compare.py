@@ -105,3 +105,12 @@ def test_overlaps_is_the_overlap_join(spark):
     wanted = sorted(i for i, (_, s, e) in enumerate(peaks) if any(s < b and e > a for _, a, b in windows))
     for width in (100, 1000):
         assert sorted(r["peak_id"] for r in overlaps(w, p, width, ["name"]).collect()) == wanted
+
+
+def test_reference_counts_repeats_when_asked(spark):
+    own = domains(spark, {"a": [*A[:2], A[0], *FAR, *FAR], "b": FAR})
+    ref = domains(spark, {"r": [A[0], A[0], A[1], A[3]]}).drop("algorithm")
+    sets, rows = ({r["algorithm"]: r["jaccard"] for r in C.reference_scores(own, ref, (1,), repeats=x).collect()} for x in (False, True))
+    assert sets == {"a": pytest.approx(2 / 4), "b": 0.0}
+    # Two times two pairs of the first, one of the second, two rows without: 5 of 7 joined rows, and 4 of the reference.
+    assert rows == {"a": pytest.approx(5 / (7 + 4 - 5)), "b": 0.0}
